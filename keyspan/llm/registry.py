@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, telephony, url_filter, warc
+from . import language_id, mixing, pii, telephony, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (mixing.op3_mixing, warc.op4_warc, url_filter.op5_url_filter, telephony.op6_telephony, pii.op7_pii)
+    found = (mixing.op3_mixing, warc.op4_warc, url_filter.op5_url_filter, telephony.op6_telephony, pii.op7_pii, toxicity.op8_toxicity, language_id.op10_language_id)
     return {f.__name__: f for f in found}
 
 
