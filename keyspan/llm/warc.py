@@ -3,7 +3,8 @@
 ``write_archives`` shuffles record headers by payload digest, makes every record but one of an equal payload a revisit
 of that one, and writes WARC/1.1 records with fresh headers. The text writer with the line separator CR LF CR LF ends
 each record as the format asks, so that archives are written through Spark's own commit protocol to any file system
-it knows. ``read_archives`` reads them by Content-Length, never by separators. ``resolve_revisits`` joins revisit
+it knows. Archives are compressed with gzip. ``read_archives`` reads them, compressed or not, by Content-Length, never
+by separators. ``resolve_revisits`` joins revisit
 records to the responses they refer to.
 
 Edge cases: a null payload is empty; a null url has no WARC-Target-URI; control characters in a url are percent-encoded.
@@ -13,6 +14,7 @@ responses too. An empty table makes archives without records. Extra columns are
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -79,7 +81,7 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
         _header("Content-Length", F.octet_length(block)),
         F.lit(CRLF), block,
     )
-    d.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).text(path)
+    d.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
@@ -112,7 +114,7 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True)
         for frame in frames:
             for content in frame["content"]:
                 rows = []
-                for h, block in records(content):
+                for h, block in records(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
                     kind = h[b"warc-type"].decode()
                     payload = block.partition(b"\r\n\r\n")[2]
                     digest = hashlib.sha1(payload).hexdigest() if kind == "response" else re.sub("^sha1:", "", h[b"warc-payload-digest"].decode())
