@@ -1,12 +1,12 @@
 """N-gram Jaccard join, size-aware: fixed-size subsets for small sets, inverted lists for large ones.
 
 A document's set are its distinct word shingles. Documents of equal sets form a class, and classes link when
-``100 * |A & B| >= PERCENT * |A | B|``.
+``100 * |A & B| >= percent * |A | B|``.
 
 *Small sets* (up to a boundary) enumerate their subsets of the overlap that a pair of sizes needs: two sets link exactly
 when they share such a subset, so the members of a subset's bucket are linked without further checks and a star of
 links stands for all of them. *Large sets* are indexed by inverted lists of a prefix: with the shingles ordered, linked
-sets share one of the first ``n - ceil(n * PERCENT / 100) + 1`` shingles of each. The boundary is where enumerating
+sets share one of the first ``n - ceil(n * percent / 100) + 1`` shingles of each. The boundary is where enumerating
 would cost more than scanning, summed over the histogram of set sizes.
 
 The order of shingles puts common ones last. How common a shingle is comes from counters over all documents (a fixed
@@ -28,6 +28,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -38,7 +40,6 @@ from pyspark.sql import functions as F
 from .common import stored
 from .shingles import mixed, shingles, word_hashes
 
-SHINGLE, PERCENT = 4, 85
 #: Counters of how common shingles are (4 MB when broadcast), and shingles counted together by a task.
 COUNTERS_LOG2, COUNTED = 22, 2_000_000
 #: A shingle enters the counters if a task saw it this often among those.
@@ -54,19 +55,25 @@ GROUP = 500
 ROUNDS = 60
 
 
-def overlap(a: int, b: int) -> int:
-    """The least overlap of linked sets of these sizes."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
+@dataclass(frozen=True)
+class Measure:
+    """Shingles of ``words`` words; sets link from ``percent`` hundredths of Jaccard similarity."""
 
+    words: int = 5
+    percent: int = 80
 
-def least_size(n: int) -> int:
-    return -(-PERCENT * n // 100)
+    def overlap(self, a: int, b: int) -> int:
+        """The least overlap of linked sets of these sizes."""
+        return -(-self.percent * (a + b) // (100 + self.percent))
 
+    def least_size(self, n: int) -> int:
+        """The least size of a set that links with one of ``n``."""
+        return -(-self.percent * n // 100)
 
-def set_of(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes; words are cut at ASCII white space and A-Z lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.unique(shingles(word_hashes(words), k))
+    def set_of(self, text: str | None) -> np.ndarray:
+        """Sorted distinct shingle hashes; words are cut at ASCII white space and A-Z lower-cased."""
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return np.unique(shingles(word_hashes(words), self.words))
 
 
 def class_of(s: np.ndarray) -> int:
@@ -78,31 +85,34 @@ def class_of(s: np.ndarray) -> int:
 SETS = "part int, id bigint, n int, cls bigint"
 
 
-def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(measure: Measure):
     """part 0: doc_id, set size and class of each document; part 1: counter and count of common shingles."""
-    held: list[np.ndarray] = []
-    size = 0
 
-    def counted() -> pd.DataFrame:
+    def counted(held: list[np.ndarray]) -> pd.DataFrame:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         often = counts >= COMMON
         return pd.DataFrame({"part": 1, "id": (values[often] >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64), "n": counts[often].astype(np.int32), "cls": 0})
 
-    for frame in frames:
-        rows = []
-        for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-            s = set_of(text)
-            rows.append((0, doc_id, len(s), class_of(s)))
-            held.append(s)
-            size += len(s)
-            if size >= COUNTED:
-                yield counted()
-                held, size = [], 0
-        out = pd.DataFrame(rows, columns=["part", "id", "n", "cls"])
-        out["id"] = out["id"].astype("Int64")
-        yield out
-    if size:
-        yield counted()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        size = 0
+        for frame in frames:
+            rows = []
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                s = measure.set_of(text)
+                rows.append((0, doc_id, len(s), class_of(s)))
+                held.append(s)
+                size += len(s)
+                if size >= COUNTED:
+                    yield counted(held)
+                    held, size = [], 0
+            out = pd.DataFrame(rows, columns=["part", "id", "n", "cls"])
+            out["id"] = out["id"].astype("Int64")
+            yield out
+        if size:
+            yield counted(held)
+
+    return run
 
 
 def _levels(counts: DataFrame) -> np.ndarray:
@@ -113,15 +123,15 @@ def _levels(counts: DataFrame) -> np.ndarray:
     return levels
 
 
-def boundary(sizes: dict[int, int]) -> int:
+def boundary(sizes: dict[int, int], measure: Measure) -> int:
     """The largest set size for which subsets are enumerated, by cost over the histogram of sizes."""
 
     def subsets(n: int, top: int) -> int:
-        return sum(math.comb(n, overlap(n, b)) for b in range(least_size(n), top + 1) if least_size(b) <= n)
+        return sum(math.comb(n, measure.overlap(n, b)) for b in range(measure.least_size(n), top + 1) if measure.least_size(b) <= n)
 
     def total(x: int) -> float:
         small = sum(c * subsets(n, x) for n, c in sizes.items() if n <= x)
-        listed = sum(c * LIST_COST * (n - least_size(n) + 1) for n, c in sizes.items() if n >= least_size(x + 1))
+        listed = sum(c * LIST_COST * (n - measure.least_size(n) + 1) for n, c in sizes.items() if n >= measure.least_size(x + 1))
         return small + listed
 
     return min(range(MOST_BOUNDARY + 1), key=lambda x: (total(x), x))
@@ -132,37 +142,37 @@ def boundary(sizes: dict[int, int]) -> int:
 ENTRIES = "part int, token bigint, meta bigint, cls bigint"
 
 
-def _enumerated(s: np.ndarray, top: int) -> Iterator[tuple[int, int]]:
+def _enumerated(s: np.ndarray, top: int, measure: Measure) -> Iterator[tuple[int, int]]:
     """(part, key) of each subset of each overlap size needed: part 1 for partners of equal size, 2 for others."""
     n, m = len(s), mixed(s)
     whole = int(m.sum(dtype=np.uint64))
     values = m.tolist()
-    for b in range(least_size(n), top + 1):
-        if least_size(b) <= n:
+    for b in range(measure.least_size(n), top + 1):
+        if measure.least_size(b) <= n:
             low, high = min(n, b), max(n, b)
-            for left_out in combinations(values, n - overlap(n, b)):
+            for left_out in combinations(values, n - measure.overlap(n, b)):
                 yield (1 if n == b else 2), (whole - sum(left_out)) ^ (low * 1_000_003 + high)
 
 
-def _entries(levels, top: int, least_listed: int):
+def _entries(measure: Measure, levels, top: int, least_listed: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         level, seen = levels.value, set()
         for frame in frames:
             columns: list[tuple[np.ndarray, ...]] = []
             for text in frame["text"]:
-                s = set_of(text)
+                s = measure.set_of(text)
                 n, cls = len(s), class_of(s)
                 if not n or cls in seen:
                     continue
                 if len(seen) < 500_000:  # copies within a task are one class
                     seen.add(cls)
                 if n <= top:
-                    made = list(_enumerated(s, top))
+                    made = list(_enumerated(s, top, measure))
                     if made:
                         parts, keys = zip(*made, strict=True)
                         columns.append((np.array(parts, np.int32), mixed(np.array([x & (2**64 - 1) for x in keys], np.uint64)).view(np.int64), np.full(len(keys), n << 31), np.full(len(keys), cls)))
                 if n >= least_listed:
-                    p = n - least_size(n) + 1
+                    p = n - measure.least_size(n) + 1
                     common = level[(s >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]
                     first = s[np.lexsort((s, common))[:p]]
                     columns.append((np.zeros(p, np.int32), first.view(np.int64), (n << 31) + np.arange(p), np.full(p, cls)))
@@ -176,7 +186,7 @@ def _entries(levels, top: int, least_listed: int):
 FOUND = "found int, token bigint, a bigint, a_meta bigint, b bigint, b_n int"
 
 
-def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     """Entries sorted by (part, token, meta, cls), each list as it passes; of a list only its first and last row are held."""
     first = last = None  # of the list that is open: (part, token, meta, cls)
     alone = True  # no row of that list has been given out
@@ -207,7 +217,7 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before = np.concatenate([rows[:1], rows[:-1]])
         for other in (before, start):
             differs = follows & (other[:, 3] != rows[:, 3])
-            fits = 100 * (other[:, 2] >> 31) >= PERCENT * n
+            fits = 100 * (other[:, 2] >> 31) >= percent * n
             early = (rows[:, 2] & (2**31 - 1)) < FIRST
             if other is start:
                 out.append((1, differs & ((rows[:, 0] == 1) | ((rows[:, 0] == 2) & (other[:, 2] < rows[:, 2]))), rows, other))
@@ -228,7 +238,7 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 CHECKED = "a bigint, b bigint"
 
 
-def _checked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _checked(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     """Links of members with the partner of their group: the partner's row comes first, and one set is held."""
     key, partner = None, None
     for frame in frames:
@@ -240,19 +250,19 @@ def _checked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             elif key == (group, salt):
                 both = np.searchsorted(partner, s)
                 shared = int((partner[np.minimum(both, len(partner) - 1)] == s).sum())
-                if 100 * shared >= PERCENT * (len(s) + len(partner) - shared):
+                if 100 * shared >= percent * (len(s) + len(partner) - shared):
                     links.append((cls, group))
         yield pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 
-def _with_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _with_sets(frames: Iterator[pd.DataFrame], measure: Measure) -> Iterator[pd.DataFrame]:
     """The set of each row's text, where it is of the class asked for; rows of a document follow each other."""
     for frame in frames:
         held, made = None, None
         rows = []
         for doc_id, text, cls, group, salt, member in frame[["doc_id", "text", "cls", "grp", "salt", "member"]].itertuples(index=False):
             if made is None or text is not held:
-                held, made = text, set_of(text)
+                held, made = text, measure.set_of(text)
                 own = class_of(made)
             if own == cls:
                 rows.append((group, salt, member, cls, made.tobytes()))
@@ -262,7 +272,7 @@ def _with_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["grp", "salt", "member", "cls", "data"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, measure: Measure) -> DataFrame:
     """The links among ``pairs`` (a, b) of classes; ``names``: cls and doc_id, a document that has it."""
     groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
     partners = groups.select(F.col("b").alias("cls"), F.col("b").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
@@ -270,9 +280,9 @@ def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
     members = pairs.join(groups, "b").select(F.col("a").alias("cls"), F.col("b").alias("grp"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"))
     asked = partners.unionByName(members).join(names, "cls")
     with_text = docs.join(asked, "doc_id")
-    sets = with_text.select("doc_id", "text", "cls", "grp", "salt", "member").mapInPandas(_with_sets, "grp bigint, salt int, member int, cls bigint, data binary")
+    sets = with_text.select("doc_id", "text", "cls", "grp", "salt", "member").mapInPandas(partial(_with_sets, measure=measure), "grp bigint, salt int, member int, cls bigint, data binary")
     together = sets.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "member")
-    return together.mapInPandas(_checked, CHECKED)
+    return together.mapInPandas(partial(_checked, percent=measure.percent), CHECKED)
 
 
 # --- components
@@ -302,7 +312,7 @@ def _place_of(meta: str) -> Column:
     return F.col(meta).bitwiseAND(F.lit(2**31 - 1)).cast("int")
 
 
-def _crossing(entries: DataFrame, labels: DataFrame) -> DataFrame:
+def _crossing(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components that share a list entry and may yet reach the overlap."""
     marked = entries.select("token", F.col("a").alias("cls"), F.col("a_meta").alias("meta")).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     marked = stored(marked, "marked")
@@ -311,36 +321,36 @@ def _crossing(entries: DataFrame, labels: DataFrame) -> DataFrame:
     left = rows.select("token", *[F.col(c).alias(f"{c}_1") for c in ("cls", "meta", "label")])
     right = rows.select("token", *[F.col(c).alias(f"{c}_2") for c in ("cls", "meta", "label")])
     n1, n2, p1, p2 = _size_of("meta_1"), _size_of("meta_2"), _place_of("meta_1"), _place_of("meta_2")
-    need = F.ceil(PERCENT * (n1 + n2) / (100 + PERCENT))
+    need = F.ceil(percent * (n1 + n2) / (100 + percent))
     ordered = (n1 < n2) | ((n1 == n2) & (F.col("cls_1") < F.col("cls_2")))
     reach = 1 + F.least(n1 - p1, n2 - p2) - 1 >= need
-    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("label_1") != F.col("label_2")) & ordered & (100 * n1 >= PERCENT * n2) & reach)
+    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("label_1") != F.col("label_2")) & ordered & (100 * n1 >= percent * n2) & reach)
     return pairs.select(F.col("cls_1").alias("a"), F.col("cls_2").alias("b")).distinct()
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, measure: Measure = Measure(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
-    made = stored(docs.mapInPandas(_sets, SETS), "sets", ["part"])
+    made = stored(docs.mapInPandas(_sets(measure), SETS), "sets", ["part"])
     rows = made.where("part = 0").select(F.col("id").alias("doc_id"), "n", "cls")
     listed = docs.where("doc_id IS NOT NULL")
     classes = rows.where("n > 0 AND doc_id IS NOT NULL")
     names = stored(classes.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
     sizes = {r["n"]: r["count"] for r in names.where(F.col("n") <= 2 * MOST_BOUNDARY).groupBy("n").count().collect()}
-    top = boundary(sizes)
+    top = boundary(sizes, measure)
     levels = spark.sparkContext.broadcast(_levels(made.where("part = 1")))
-    entries = listed.select("text").mapInPandas(_entries(levels, top, least_size(top + 1)), ENTRIES)
-    scanned = entries.repartition("part", "token").sortWithinPartitions("part", "token", "meta", "cls").mapInPandas(_scan, FOUND)
+    entries = listed.select("text").mapInPandas(_entries(measure, levels, top, measure.least_size(top + 1)), ENTRIES)
+    scanned = entries.repartition("part", "token").sortWithinPartitions("part", "token", "meta", "cls").mapInPandas(partial(_scan, percent=measure.percent), FOUND)
     found = stored(scanned, "found", ["found"])
     links = found.where("found = 1").select("a", "b")
     tries = found.where("found = 2").groupBy("a", "b").agg(F.count("*").alias("n"))
     tries = tries.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     names = names.select("cls", "doc_id")
-    first = stored(verified(tries, listed, names).union(links), "first")
+    first = stored(verified(tries, listed, names, measure).union(links), "first")
     labels = components(first)
-    crossing = stored(_crossing(found.where("found = 0"), labels), "crossing")
-    second = stored(verified(crossing, listed, names), "second")
+    crossing = stored(_crossing(found.where("found = 0"), labels, measure.percent), "crossing")
+    second = stored(verified(crossing, listed, names, measure), "second")
     if not second.isEmpty():
         at = labels.select("cls", "label")
         # links between components: a class without a label is its own
@@ -357,7 +367,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), Measure(words=4, percent=85))
 
 
 ORACLE = r"""
