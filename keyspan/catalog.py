@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from .plans import folds, graphs, reads, searches, tables  # noqa: F401  (they register their queries)
+from .plans.registry import QUERIES, SQL, Query, Tables
 
 
-def queries():
-    return {}
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return reads.flagship(Tables(spark, folder))
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
