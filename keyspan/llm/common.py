@@ -35,13 +35,13 @@ def stored(df: DataFrame, name: str, partitions: Sequence[str] = ()) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Rows of ids and numbers that may be broadcast: about 15 MB.
+BROADCAST_ROWS = 250_000
 
 
-def text_of(df: DataFrame, column: str = "text") -> Column:
-    """The text column as a string; null stays null."""
-    return df[column].cast("string")
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if a count, cut off beyond ``most``, shows that it has few rows; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def appended(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

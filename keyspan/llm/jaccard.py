@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import if_small, stored
 from .shingles import mixed, shingles, word_hashes
 
 #: Counters of how common shingles are (4 MB when broadcast), and shingles counted together by a task.
@@ -50,6 +50,8 @@ MOST_BOUNDARY = 40
 LIST_COST = 4.0
 #: List places in which a class looks for its first partner.
 FIRST = 10
+#: Places that a first partner must share.
+FEW = 3
 #: Members verified by one task's stream against one partner.
 GROUP = 500
 ROUNDS = 60
@@ -238,51 +240,35 @@ def _scan(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame
 CHECKED = "a bigint, b bigint"
 
 
-def _checked(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+def _checked(frames: Iterator[pd.DataFrame], measure: Measure) -> Iterator[pd.DataFrame]:
     """Links of members with the partner of their group: the partner's row comes first, and one set is held."""
     key, partner = None, None
     for frame in frames:
         links = []
-        for group, salt, member, cls, data in frame[["grp", "salt", "member", "cls", "data"]].itertuples(index=False):
-            s = np.frombuffer(data, np.uint64)
+        for group, salt, member, cls, text in frame[["grp", "salt", "member", "cls", "text"]].itertuples(index=False):
+            s = measure.set_of(text)
+            if class_of(s) != cls:  # another text of the same doc_id
+                continue
             if not member:
                 key, partner = (group, salt), s
             elif key == (group, salt):
                 both = np.searchsorted(partner, s)
                 shared = int((partner[np.minimum(both, len(partner) - 1)] == s).sum())
-                if 100 * shared >= percent * (len(s) + len(partner) - shared):
+                if 100 * shared >= measure.percent * (len(s) + len(partner) - shared):
                     links.append((cls, group))
         yield pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 
-def _with_sets(frames: Iterator[pd.DataFrame], measure: Measure) -> Iterator[pd.DataFrame]:
-    """The set of each row's text, where it is of the class asked for; rows of a document follow each other."""
-    for frame in frames:
-        held, made = None, None
-        rows = []
-        for doc_id, text, cls, group, salt, member in frame[["doc_id", "text", "cls", "grp", "salt", "member"]].itertuples(index=False):
-            if made is None or text is not held:
-                held, made = text, measure.set_of(text)
-                own = class_of(made)
-            if own == cls:
-                rows.append((group, salt, member, cls, made.tobytes()))
-            if len(rows) >= 500:
-                yield pd.DataFrame(rows, columns=["grp", "salt", "member", "cls", "data"])
-                rows = []
-        yield pd.DataFrame(rows, columns=["grp", "salt", "member", "cls", "data"])
-
-
 def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, measure: Measure) -> DataFrame:
-    """The links among ``pairs`` (a, b) of classes; ``names``: cls and doc_id, a document that has it."""
+    """The links among ``pairs`` (a, b) of classes; ``names``: cls and doc_id, a document that has it. Texts travel, which
+    are half as large as their sets."""
     groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
     partners = groups.select(F.col("b").alias("cls"), F.col("b").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
     # a group of many members is known by its count; its rows are spread over the salts by their class
     members = pairs.join(groups, "b").select(F.col("a").alias("cls"), F.col("b").alias("grp"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"))
-    asked = partners.unionByName(members).join(names, "cls")
-    with_text = docs.join(asked, "doc_id")
-    sets = with_text.select("doc_id", "text", "cls", "grp", "salt", "member").mapInPandas(partial(_with_sets, measure=measure), "grp bigint, salt int, member int, cls bigint, data binary")
-    together = sets.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "member")
-    return together.mapInPandas(partial(_checked, percent=measure.percent), CHECKED)
+    asked = stored(partners.unionByName(members).join(names, "cls"), "asked")
+    found = docs.join(if_small(asked), "doc_id").select("grp", "salt", "member", "cls", "text")
+    return found.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "member").mapInPandas(partial(_checked, measure=measure), CHECKED)
 
 
 # --- components
@@ -308,10 +294,6 @@ def _size_of(meta: str) -> Column:
     return F.shiftright(F.col(meta), 31).cast("int")
 
 
-def _place_of(meta: str) -> Column:
-    return F.col(meta).bitwiseAND(F.lit(2**31 - 1)).cast("int")
-
-
 def _crossing(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components that share a list entry and may yet reach the overlap."""
     marked = entries.select("token", F.col("a").alias("cls"), F.col("a_meta").alias("meta")).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -319,13 +301,16 @@ def _crossing(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     split = marked.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("token")
     rows = marked.join(stored(split, "split"), "token")
     left = rows.select("token", *[F.col(c).alias(f"{c}_1") for c in ("cls", "meta", "label")])
-    right = rows.select("token", *[F.col(c).alias(f"{c}_2") for c in ("cls", "meta", "label")])
-    n1, n2, p1, p2 = _size_of("meta_1"), _size_of("meta_2"), _place_of("meta_1"), _place_of("meta_2")
-    need = F.ceil(percent * (n1 + n2) / (100 + percent))
+    right = rows.select(F.col("token").alias("token_2"), *[F.col(c).alias(f"{c}_2") for c in ("cls", "meta", "label")])
+    n1, n2 = _size_of("meta_1"), _size_of("meta_2")
     ordered = (n1 < n2) | ((n1 == n2) & (F.col("cls_1") < F.col("cls_2")))
-    reach = 1 + F.least(n1 - p1, n2 - p2) - 1 >= need
-    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("label_1") != F.col("label_2")) & ordered & (100 * n1 >= percent * n2) & reach)
-    return pairs.select(F.col("cls_1").alias("a"), F.col("cls_2").alias("b")).distinct()
+    pairs = left.join(right, (F.col("token") == F.col("token_2")) & (F.col("label_1") != F.col("label_2")) & ordered & (100 * n1 >= percent * n2))
+    counted = pairs.groupBy(F.col("cls_1").alias("a"), F.col("cls_2").alias("b"), n1.alias("n1"), n2.alias("n2")).agg(F.countDistinct("token").alias("shared"))
+    # of the set whose listed shingles end first in the order, all shared ones up to there are counted; the rest of it has
+    # least_size - 1 shingles, and the larger set has more of them
+    rest = F.ceil(percent * F.col("n2") / 100) - 1
+    enough = F.col("shared") + rest >= F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
+    return counted.where(enough).select("a", "b")
 
 
 def join(docs: DataFrame, measure: Measure = Measure(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -344,7 +329,9 @@ def join(docs: DataFrame, measure: Measure = Measure(), doc_id: str = "doc_id",
     scanned = entries.repartition("part", "token").sortWithinPartitions("part", "token", "meta", "cls").mapInPandas(partial(_scan, percent=measure.percent), FOUND)
     found = stored(scanned, "found", ["found"])
     links = found.where("found = 1").select("a", "b")
-    tries = found.where("found = 2").groupBy("a", "b").agg(F.count("*").alias("n"))
+    tries = found.where("found = 2").groupBy("a", "b", _size_of("a_meta").alias("size")).agg(F.count("*").alias("n"))
+    # a first partner shares several of the first places, or all there are
+    tries = tries.where(F.col("n") >= F.least(F.lit(FEW), F.col("size") - F.ceil(measure.percent * F.col("size") / 100) + 1))
     tries = tries.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     names = names.select("cls", "doc_id")
     first = stored(verified(tries, listed, names, measure).union(links), "first")
