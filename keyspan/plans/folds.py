@@ -186,9 +186,9 @@ def _(t):
     return t.customer.select("c_custkey", F.element_at(m, "seg").alias("got"), F.map_contains_key(m, "name").alias("has"), F.size(scalars.without_entry(m, "x")).alias("size_after"), F.element_at(set_, "name").alias("replaced"))
 
 
-@query("v10_uuid", "SELECT event_id, epoch_ms(ts) AS millis FROM events")
+@query("v10_uuid", "SELECT event_id, epoch_us(ts) // 1000 AS millis FROM events")
 def _(t):
-    ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    ms = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000")
     text = F.concat(F.lpad(F.lower(F.hex(ms)), 12, "0"), F.lit("-7000-8000-"), F.lpad(F.lower(F.hex("event_id")), 12, "0"))
     return t.events.select("event_id", scalars.uuid7_millis(scalars.uuid_bytes(text)).alias("millis"))
 

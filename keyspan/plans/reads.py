@@ -403,9 +403,9 @@ def _(t):
     return t.orders.where("o_totalprice > 200000").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(1)
 
 
-@query("o06b_take_while", "SELECT event_id, value FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE NOT value < 400)")
+@query("o06b_take_while", "SELECT event_id, value FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE NOT value < 90)")
 def _(t):
-    return take_while(t.events.select("event_id", "value"), ["event_id"], F.col("value") < 400)
+    return take_while(t.events.select("event_id", "value"), ["event_id"], F.col("value") < 90)
 
 
 @query("o07_top_k_distance", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, CAST(round(list_sum(list_transform(list_zip(embedding, e), lambda p: power(CAST(p[1] - p[2] AS DOUBLE), 2))), 4) AS DOUBLE) AS distance FROM embeddings, q ORDER BY distance, vec_id LIMIT 10")
