@@ -45,6 +45,8 @@ PIECE = 1 << 19
 #: Contexts of a sorted run, of a range, and in the sample that splitters are drawn from.
 RUN, RANGE, SPLITTER_SAMPLE = 40_000, 8_000, 4_000
 BLOCK_BYTES = 1 << 16
+#: Anchors that a task combines before they are sent.
+COMBINED = 200_000
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.ones(1, np.uint64)
@@ -238,7 +240,7 @@ class LoserTree:
 # --- steps
 
 ROWS = "doc_id bigint, n_bytes bigint, cls bigint, whole string"
-ANCHORS = "gram bigint, cls bigint, place bigint"
+ANCHORS = "known boolean, gram bigint, cls bigint, place bigint"
 NUMBERS = "cls bigint, place bigint, low bigint, high bigint, gram bigint"
 CONTEXTS = f"{NUMBERS}, before binary, after binary"
 
@@ -250,20 +252,36 @@ def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """known: a gram that the task saw twice by itself. Of each gram a batch also has one row that is not known, which
+    stands for it elsewhere, so that a gram of many places sends few rows to the task that compares it."""
     seen: set[int] = set()
+    held: list[np.ndarray] = []
+
+    def combined() -> pd.DataFrame:
+        rows = np.concatenate(held)
+        held.clear()
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        start = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
+        alone = start & np.concatenate([start[1:], [True]])
+        out = np.concatenate([rows[start], rows[~alone]])
+        return pd.DataFrame({"known": np.repeat([False, True], [int(start.sum()), int((~alone).sum())]), "gram": out[:, 0], "cls": out[:, 1], "place": out[:, 2]})
+
+    size = 0
     for frame in frames:
-        for part in range(0, len(frame), 256):
-            out = []
-            for text in frame["text"].iloc[part : part + 256]:
-                raw = _bytes_of(text)
-                cls = _class_of(raw)
-                if len(raw) >= LENGTH and cls not in seen:
-                    if len(seen) < 500_000:  # copies within a task are one class
-                        seen.add(cls)
-                    a = anchors(raw)
-                    out.append(np.stack([a[:, 3], np.full(len(a), cls), a[:, 0]], axis=1))
-            if out:
-                yield pd.DataFrame(np.concatenate(out), columns=["gram", "cls", "place"])
+        for text in frame["text"]:
+            raw = _bytes_of(text)
+            cls = _class_of(raw)
+            if len(raw) >= LENGTH and cls not in seen:
+                if len(seen) < 500_000:  # copies within a task are one class
+                    seen.add(cls)
+                a = anchors(raw)
+                held.append(np.stack([a[:, 3], np.full(len(a), cls), a[:, 0]], axis=1))
+                size += len(a)
+                if size >= COMBINED:
+                    yield combined()
+                    size = 0
+    if held:
+        yield combined()
 
 
 def _contexts(columns: str, make):
@@ -422,9 +440,11 @@ def _window_prints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_spans(docs: DataFrame, names: DataFrame) -> DataFrame:
     """cls, start and stop of spans of removed bytes, overlapping ones not joined; ``names``: cls and doc_id of each class."""
-    scanned = docs.select("text").mapInPandas(_anchors, ANCHORS)
-    scanned = scanned.repartition("gram").sortWithinPartitions("gram", "cls", "place").mapInPandas(_repeated(1, ANCHORS), ANCHORS)
-    asked = scanned.groupBy("cls").agg(F.collect_list("place").alias("places"))
+    scanned = stored(docs.select("text").mapInPandas(_anchors, ANCHORS), "anchors")
+    places = "gram bigint, cls bigint, place bigint"
+    lone = scanned.where("NOT known").select("gram", "cls", "place")
+    met = lone.repartition("gram").sortWithinPartitions("gram", "cls", "place").mapInPandas(_repeated(1, places), places)
+    asked = met.unionByName(scanned.where("known").select("gram", "cls", "place")).groupBy("cls").agg(F.collect_set("place").alias("places"))
     # all that follows looks only at texts with a gram that repeats
     suspects = stored(docs.join(asked.join(names, "cls"), "doc_id").select("cls", "text", "places"), "suspects")
     digests = "gram bigint, d1 bigint, d2 bigint, cls bigint, place bigint, low bigint, high bigint"
