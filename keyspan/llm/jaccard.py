@@ -13,8 +13,8 @@ The order of shingles puts common ones last. How common a shingle is comes from
 number of them, hence a broadcast of fixed size); any counts give the same links, good ones give short lists.
 
 Lists are not expanded into all pairs. First each class is verified against one partner from its lists, and links make
-components. Then only pairs of different components that share a list entry are verified, which is exact: a pair of one
-component needs no link any more. Verification streams members past the set of one partner of their group, groups are
+components. Then neighbours of different components in a list, and last all pairs of different components that share
+enough list entries, are verified, which is exact: a pair of one component needs no link any more. Verification streams members past the set of one partner of their group, groups are
 split by salt beyond ``GROUP`` members. Components spread the least class id with pointer jumping.
 
 Edge cases: empty and null texts have empty sets, link with nothing and are their own component. A null doc_id has its
@@ -36,14 +36,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import if_small, stored
 from .shingles import mixed, shingles, word_hashes
 
 #: Counters of how common shingles are (4 MB when broadcast), and shingles counted together by a task.
-COUNTERS_LOG2, COUNTED = 22, 2_000_000
+COUNTERS_LOG2, COUNTED = 22, 4_000_000
 #: A shingle enters the counters if a task saw it this often among those.
-COMMON = 4
+COMMON = 2
 #: No boundary above this is tried; the histogram of sizes up to it goes to the driver.
 MOST_BOUNDARY = 40
 #: Cost of scanning and verifying one list entry, in enumerated subsets.
@@ -55,6 +56,8 @@ FEW = 3
 #: Members verified by one task's stream against one partner.
 GROUP = 500
 ROUNDS = 60
+#: Times that neighbouring components of a list are verified before all pairs of different ones are.
+TURNS = 2
 
 
 @dataclass(frozen=True)
@@ -294,14 +297,27 @@ def _size_of(meta: str) -> Column:
     return F.shiftright(F.col(meta), 31).cast("int")
 
 
-def _crossing(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share a list entry and may yet reach the overlap."""
-    marked = entries.select("token", F.col("a").alias("cls"), F.col("a_meta").alias("meta")).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    marked = stored(marked, "marked")
-    split = marked.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("token")
-    rows = marked.join(stored(split, "split"), "token")
-    left = rows.select("token", *[F.col(c).alias(f"{c}_1") for c in ("cls", "meta", "label")])
-    right = rows.select(F.col("token").alias("token_2"), *[F.col(c).alias(f"{c}_2") for c in ("cls", "meta", "label")])
+def _marked(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries, with their components, of the lists that hold more than one component."""
+    rows = entries.select("token", F.col("a").alias("cls"), F.col("a_meta").alias("meta")).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    rows = stored(rows, "marked")
+    split = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("token")
+    return stored(rows.join(stored(split, "split"), "token"), "split-lists")
+
+
+def _adjacent(marked: DataFrame, percent: int) -> DataFrame:
+    """For each two components that are neighbours in a list, ordered by size, the pair that is so most often."""
+    w = Window.partitionBy("token").orderBy("meta", "cls")
+    rows = marked.withColumns({"b": F.lag("cls").over(w), "other": F.lag("label").over(w), "b_meta": F.lag("meta").over(w)})
+    fits = (F.col("label") != F.col("other")) & (100 * _size_of("b_meta") >= percent * _size_of("meta"))
+    pairs = rows.where(fits).groupBy(F.col("cls").alias("a"), "b", F.least("label", "other").alias("l"), F.greatest("label", "other").alias("h")).agg(F.count("*").alias("n"))
+    return pairs.groupBy("l", "h").agg(F.max(F.struct("n", "a", "b")).alias("best")).select("best.a", "best.b")
+
+
+def _crossing(marked: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that share list entries enough to reach the overlap."""
+    left = marked.select("token", *[F.col(c).alias(f"{c}_1") for c in ("cls", "meta", "label")])
+    right = marked.select(F.col("token").alias("token_2"), *[F.col(c).alias(f"{c}_2") for c in ("cls", "meta", "label")])
     n1, n2 = _size_of("meta_1"), _size_of("meta_2")
     ordered = (n1 < n2) | ((n1 == n2) & (F.col("cls_1") < F.col("cls_2")))
     pairs = left.join(right, (F.col("token") == F.col("token_2")) & (F.col("label_1") != F.col("label_2")) & ordered & (100 * n1 >= percent * n2))
@@ -313,6 +329,15 @@ def _crossing(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return counted.where(enough).select("a", "b")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links; a class without a label is a component of its own."""
+    a = links.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+    above = components(a.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    fresh = links.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(labels, "cls", "left_anti").withColumn("label", F.col("cls"))
+    joined = labels.unionByName(fresh).join(above.toDF("label", "top"), "label", "left")
+    return stored(joined.select("cls", F.coalesce("top", "label").alias("label")), "labels")
+
+
 def join(docs: DataFrame, measure: Measure = Measure(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     spark = docs.sparkSession
@@ -336,15 +361,12 @@ def join(docs: DataFrame, measure: Measure = Measure(), doc_id: str = "doc_id",
     names = names.select("cls", "doc_id")
     first = stored(verified(tries, listed, names, measure).union(links), "first")
     labels = components(first)
-    crossing = stored(_crossing(found.where("found = 0"), labels, measure.percent), "crossing")
-    second = stored(verified(crossing, listed, names, measure), "second")
-    if not second.isEmpty():
-        at = labels.select("cls", "label")
-        # links between components: a class without a label is its own
-        a = second.join(at.toDF("a", "la"), "a", "left").join(at.toDF("b", "lb"), "b", "left")
-        above = components(a.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-        joined = labels.unionByName(second.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(labels, "cls", "left_anti").withColumn("label", F.col("cls")))
-        labels = joined.join(above.toDF("label", "top"), "label", "left").select("cls", F.coalesce("top", "label").alias("label"))
+    for turn in range(TURNS + 1):
+        marked = _marked(found.where("found = 0"), labels)
+        pairs = _adjacent(marked, measure.percent) if turn < TURNS else _crossing(marked, measure.percent)
+        more = stored(verified(stored(pairs, "pairs"), listed, names, measure), "more")
+        if not more.isEmpty():
+            labels = _joined(labels, more)
     of_class = names.join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
     least = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_class = stored(of_class.join(least, "label").select("cls", "component_id"), "components")
