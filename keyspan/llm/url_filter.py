@@ -80,7 +80,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url", def
     """``pages`` with host, path, rule (null if none fits) and verdict."""
     spark = pages.sparkSession
     host, path = host_and_path(pages[url].cast("string"))
-    base = appended(pages, {"host": host, "path": path})
+    base = appended(pages, {"host": host, "path": path}).drop("rule", "verdict")
     base = base.withColumn("__row", F.monotonically_increasing_id())
     if not rules:
         return appended(base.drop("__row"), {"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
