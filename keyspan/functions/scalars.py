@@ -13,7 +13,11 @@ def ngrams(text: Column, n: int) -> Column:
     if n < 1:
         raise ValueError("n-grams need n >= 1")
     size = F.char_length(text)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    # shifted arrays of characters, joined place by place: substring would count from the start each time
+    characters, count = F.regexp_extract_all(text, F.lit("(?s)(.)"), 1), F.greatest(size - n + 1, F.lit(0))
+    windows = F.slice(characters, F.lit(1), count)
+    for shift in range(1, n):
+        windows = F.zip_with(windows, F.slice(characters, F.lit(shift + 1), count), lambda a, b: F.concat(a, b))
     return F.when(size < n, F.array(text)).otherwise(windows)
 
 

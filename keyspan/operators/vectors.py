@@ -82,7 +82,7 @@ def nearest_all(vectors: DataFrame, key: str, vector: str, queries: DataFrame, q
                 continue
             keys, block = frame[key].to_numpy(), np.array(frame[vector].tolist(), np.float32)
             for i in range(len(ids)):
-                d = ((block - q[i]) ** 2).astype(np.float64).sum(axis=1).astype(np.float32)
+                d = ((block - q[i]).astype(np.float64) ** 2).sum(axis=1).astype(np.float32)
                 near = np.argpartition(d, min(k, len(d)) - 1)[:k] if len(d) > k else np.arange(len(d))
                 edge = d[near].max() if len(d) > k else np.inf
                 near = np.flatnonzero(d <= edge)

@@ -37,11 +37,11 @@ def _(t):
 D2 = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: power(CAST(p[1] - p[2] AS DOUBLE), 2)))"
 
 
-@query("x01_exact_search", f"SELECT query_id, vec_id, round(d, 4) AS distance, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {D2} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {D2}, e.vec_id)::INT AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5")
+@query("x01_exact_search", f"SELECT query_id, vec_id, round(d, 3) AS distance, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {D2} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {D2}, e.vec_id)::INT AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5")
 def _(t):
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     got = vectors.nearest_all(t.embeddings, "vec_id", "embedding", q, "query_id", 5)
-    return got.select("query_id", "vec_id", F.round(F.col("distance").cast("double"), 4).alias("distance"), "rank")
+    return got.select("query_id", "vec_id", F.round(F.col("distance").cast("double"), 3).alias("distance"), "rank")
 
 
 I8 = "list_transform({0}.embedding, lambda x: round(CAST(x AS DOUBLE) * (127.0 / list_max(list_transform({0}.embedding, lambda y: abs(CAST(y AS DOUBLE)))))))"
@@ -62,15 +62,15 @@ def _(t):
     return vectors.search_shards(graphs, q, 10).withColumnRenamed("key", "vec_id")
 
 
-@query("x08_bucket_recall", f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 4) SELECT e.vec_id, round({D2}, 4) AS distance FROM embeddings e, q WHERE round(CAST(e.embedding[1] / CAST(0.2 AS FLOAT) AS FLOAT)) = round(CAST(q.embedding[1] / CAST(0.2 AS FLOAT) AS FLOAT)) AND round(CAST(e.embedding[2] / CAST(0.2 AS FLOAT) AS FLOAT)) = round(CAST(q.embedding[2] / CAST(0.2 AS FLOAT) AS FLOAT)) ORDER BY {D2}, e.vec_id LIMIT 10")
+@query("x08_bucket_recall", f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 4) SELECT e.vec_id, round({D2}, 3) AS distance FROM embeddings e, q WHERE round(CAST(e.embedding[1] / CAST(0.2 AS FLOAT) AS FLOAT)) = round(CAST(q.embedding[1] / CAST(0.2 AS FLOAT) AS FLOAT)) AND round(CAST(e.embedding[2] / CAST(0.2 AS FLOAT) AS FLOAT)) = round(CAST(q.embedding[2] / CAST(0.2 AS FLOAT) AS FLOAT)) ORDER BY {D2}, e.vec_id LIMIT 10")
 def _(t):
     q = t.embeddings.where("vec_id = 4").first()["embedding"]
     got = vectors.bucket_recall(t.embeddings, "vec_id", "embedding", q, 0.2, 2, 10)
-    return got.select("vec_id", F.round(F.col("distance").cast("double"), 4).alias("distance"))
+    return got.select("vec_id", F.round(F.col("distance").cast("double"), 3).alias("distance"))
 
 
-@query("x09_filtered_search", f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 5) SELECT e.vec_id, round({D2}, 4) AS distance FROM embeddings e, q WHERE e.label = 3 ORDER BY {D2}, e.vec_id LIMIT 10")
+@query("x09_filtered_search", f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 5) SELECT e.vec_id, round({D2}, 3) AS distance FROM embeddings e, q WHERE e.label = 3 ORDER BY {D2}, e.vec_id LIMIT 10")
 def _(t):
     q = t.embeddings.where("vec_id = 5").first()["embedding"]
     got = vectors.nearest_allowed(t.embeddings, "vec_id", "embedding", q, 10, t.embeddings.where("label = 3"))
-    return got.select("vec_id", F.round(F.col("distance").cast("double"), 4).alias("distance"))
+    return got.select("vec_id", F.round(F.col("distance").cast("double"), 3).alias("distance"))
