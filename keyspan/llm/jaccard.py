@@ -13,9 +13,10 @@ The order of shingles puts common ones last. How common a shingle is comes from
 number of them, hence a broadcast of fixed size); any counts give the same links, good ones give short lists.
 
 Lists are not expanded into all pairs. First each class is verified against one partner from its lists, and links make
-components. Then neighbours of different components in a list, and last all pairs of different components that share
-enough list entries, are verified, which is exact: a pair of one component needs no link any more. Verification streams members past the set of one partner of their group, groups are
-split by salt beyond ``GROUP`` members. Components spread the least class id with pointer jumping.
+components. Then, in a few turns, classes are verified against hubs of other components in their lists, which joins nearly
+all that links. Last, all pairs of classes of components that still differ, share enough list entries and agree in place
+are verified, which is exact: a pair of one component needs no link any more. Verification streams members past the set
+of one partner of their group, groups are split by salt beyond ``GROUP`` members. Components spread the least class id with pointer jumping.
 
 Edge cases: empty and null texts have empty sets, link with nothing and are their own component. A null doc_id has its
 set size and a null component, and links with nothing. Rows that share a doc_id are documents of their own; their class
@@ -56,9 +57,9 @@ FEW = 3
 #: Members verified by one task's stream against one partner.
 GROUP = 500
 ROUNDS = 60
-#: Times that neighbouring components of a list are verified before all pairs of different ones are. Two turns cost 756
-#: in place of 480 CPU seconds a GB in the check tool and saved a fifth of the pairs in its large group of near copies.
-TURNS = 0
+#: Turns in which classes are verified against hubs of their lists before all pairs of different components are, hubs of a
+#: list, and those of them that a class is verified against.
+TURNS, HUBS, PICKS = 2, 8, 2
 
 
 @dataclass(frozen=True)
@@ -298,21 +299,48 @@ def _size_of(meta: str) -> Column:
     return F.shiftright(F.col(meta), 31).cast("int")
 
 
-def _marked(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries, with their components, of the lists that hold more than one component."""
-    rows = entries.select("token", F.col("a").alias("cls"), F.col("a_meta").alias("meta")).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+def _marked(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries (token, cls, meta, share), with their components, of the lists that hold more than one component."""
+    rows = rows.select("token", "cls", "meta", "share").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     rows = stored(rows, "marked")
     split = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("token")
     return stored(rows.join(stored(split, "split"), "token"), "split-lists")
 
 
-def _adjacent(marked: DataFrame, percent: int) -> DataFrame:
-    """For each two components that are neighbours in a list, ordered by size, the pair that is so most often."""
-    w = Window.partitionBy("token").orderBy("meta", "cls")
-    rows = marked.withColumns({"b": F.lag("cls").over(w), "other": F.lag("label").over(w), "b_meta": F.lag("meta").over(w)})
-    fits = (F.col("label") != F.col("other")) & (100 * _size_of("b_meta") >= percent * _size_of("meta"))
-    pairs = rows.where(fits).groupBy(F.col("cls").alias("a"), "b", F.least("label", "other").alias("l"), F.greatest("label", "other").alias("h")).agg(F.count("*").alias("n"))
-    return pairs.groupBy("l", "h").agg(F.max(F.struct("n", "a", "b")).alias("best")).select("best.a", "best.b")
+def _need(n1: Column, n2: Column, percent: int) -> Column:
+    return F.ceil(percent * (n1 + n2) / (100 + percent))
+
+
+def _reachable(meta_1: str, meta_2: str, percent: int) -> Column:
+    """Whether sets that share a shingle at these places of the order can reach the overlap: they share no more shingles
+    before it than the smaller place says, and no more after it than the shorter rest. It holds for each shared shingle of
+    linked sets."""
+    n1, n2 = _size_of(meta_1), _size_of(meta_2)
+    at_1, at_2 = (F.col(m).bitwiseAND(F.lit(2**31 - 1)).cast("int") for m in (meta_1, meta_2))
+    sizes = (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1)
+    return sizes & (F.least(at_1, at_2) + 1 + F.least(n1 - 1 - at_1, n2 - 1 - at_2) >= _need(n1, n2, percent))
+
+
+def _to_hubs(marked: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For each class, the ``PICKS`` hubs of other components that it shares most list entries with, if enough. The hubs of
+    a list are the ``HUBS`` classes of it that share most of their listed shingles with others, as near copies of many do;
+    later turns mix the order."""
+    mix = F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(1024)) * (turn / 8192)
+    first = Window.partitionBy("token").orderBy((mix - F.col("share")), "cls")
+    hubs = marked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= HUBS)
+    hubs = hubs.select(F.col("token").alias("hub_token"), F.col("cls").alias("b"), F.col("meta").alias("b_meta"), F.col("label").alias("b_label"))
+    near = marked.join(hubs, (F.col("token") == F.col("hub_token")) & (F.col("label") != F.col("b_label")) & _reachable("meta", "b_meta", percent))
+    counted = near.groupBy(F.col("cls").alias("a"), "b", _size_of("meta").alias("n1"), _size_of("b_meta").alias("n2")).agg(F.count("*").alias("shared"))
+    most = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+    return counted.where(_enough(percent)).withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= PICKS).select("a", "b")
+
+
+def _enough(percent: int) -> Column:
+    """Whether sets of sizes n1 and n2 with ``shared`` list entries can reach the overlap. Of the set whose listed shingles
+    end first in the order, all shared ones up to there are counted; the rest of it has least_size - 1 shingles, and the
+    larger set has more of them."""
+    rest = F.ceil(percent * F.greatest("n1", "n2") / 100) - 1
+    return F.col("shared") + rest >= _need(F.col("n1"), F.col("n2"), percent)
 
 
 def _crossing(marked: DataFrame, percent: int) -> DataFrame:
@@ -321,13 +349,9 @@ def _crossing(marked: DataFrame, percent: int) -> DataFrame:
     right = marked.select(F.col("token").alias("token_2"), *[F.col(c).alias(f"{c}_2") for c in ("cls", "meta", "label")])
     n1, n2 = _size_of("meta_1"), _size_of("meta_2")
     ordered = (n1 < n2) | ((n1 == n2) & (F.col("cls_1") < F.col("cls_2")))
-    pairs = left.join(right, (F.col("token") == F.col("token_2")) & (F.col("label_1") != F.col("label_2")) & ordered & (100 * n1 >= percent * n2))
+    pairs = left.join(right, (F.col("token") == F.col("token_2")) & (F.col("label_1") != F.col("label_2")) & ordered & _reachable("meta_1", "meta_2", percent))
     counted = pairs.groupBy(F.col("cls_1").alias("a"), F.col("cls_2").alias("b"), n1.alias("n1"), n2.alias("n2")).agg(F.countDistinct("token").alias("shared"))
-    # of the set whose listed shingles end first in the order, all shared ones up to there are counted; the rest of it has
-    # least_size - 1 shingles, and the larger set has more of them
-    rest = F.ceil(percent * F.col("n2") / 100) - 1
-    enough = F.col("shared") + rest >= F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
-    return counted.where(enough).select("a", "b")
+    return counted.where(_enough(percent)).select("a", "b")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -362,9 +386,14 @@ def join(docs: DataFrame, measure: Measure = Measure(), doc_id: str = "doc_id",
     names = names.select("cls", "doc_id")
     first = stored(verified(tries, listed, names, measure).union(links), "first")
     labels = components(first)
+    marked = found.where("found = 0").select("token", F.col("a").alias("cls"), F.col("a_meta").alias("meta"))
+    size = _size_of("meta")
+    listed_of = (size - F.ceil(measure.percent * size / 100) + 1).cast("double")
+    # the entries of a class are as many as the prefix of its set: they fit in a task as the set does
+    marked = marked.withColumn("share", (F.count("*").over(Window.partitionBy("cls")) / listed_of).cast("float"))
     for turn in range(TURNS + 1):
-        marked = _marked(found.where("found = 0"), labels)
-        pairs = _adjacent(marked, measure.percent) if turn < TURNS else _crossing(marked, measure.percent)
+        marked = _marked(marked, labels)  # components only grow: a list of one component stays so
+        pairs = _to_hubs(marked, measure.percent, turn) if turn < TURNS else _crossing(marked, measure.percent)
         more = stored(verified(stored(pairs, "pairs"), listed, names, measure), "more")
         if not more.isEmpty():
             labels = _joined(labels, more)
