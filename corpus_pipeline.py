@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.llm import decontamination, jaccard, language_id, mixing, pii
-from keyspan.llm.common import stored
+from keyspan.llm.common import if_small, stored
+
+ROW = "__row"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +22,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates; rows with a null id stay."""
-    groups = jaccard.join(docs)
-    kept = stored(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """Keeps one row of each group of near duplicates, that of the least id; ids are null last, and need not differ.
+
+    A row is named by 64 bits of its id and text. Rows of one name are copies, of which one goes on. Texts without a word
+    are like no other and stay."""
+    named = docs.withColumn(ROW, F.xxhash64("doc_id", "text"))
+    has_word = F.coalesce(F.col("text").cast("string").rlike(r"\S"), F.lit(False))
+    worded = named.where(has_word)
+    rows = stored(worded.groupBy(ROW).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "rows")
+    copied = rows.where("copies > 1").select(ROW)
+    if not copied.isEmpty():
+        one = stored(worded.join(if_small(copied), ROW, "left_semi").dropDuplicates([ROW]), "copied")
+        worded = worded.join(if_small(copied), ROW, "left_anti").unionByName(one)
+    groups = jaccard.join(worded, doc_id=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", ROW))
+    kept = stored(groups.join(rows, ROW).groupBy("component_id").agg(first.alias("first")).select(f"first.{ROW}"), "kept")
+    return worded.join(kept, ROW, "left_semi").unionByName(named.where(~has_word)).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

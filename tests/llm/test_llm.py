@@ -385,3 +385,15 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path, extra):
             assert 51 not in ids and 0 in ids
         if i == 3:
             assert all("@" not in x.text for x in d.collect())
+
+
+def test_near_duplicates_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b, c, d, e = (passage(i, 30) for i in range(60, 65))
+    rows = [(1, a, "en"), (1, a, "en"), (1, a, "fr"), (2, a + " end"), (2, b), (3, c), (3, d), (4, d + " end"), (None, b), (None, b), (None, e), (None, e), (None, e + " end"), (None, None), (None, None), (7, " "), (7, " ")]
+    got = corpus_pipeline.near_duplicates(spark, docs(spark, *rows), "").collect()
+    assert Counter((r.doc_id, "".join((r.text or "").split(" end"))) for r in got) == Counter({(1, a): 1, (2, b): 1, (3, c): 1, (3, d): 1, (None, e): 1, (None, ""): 2, (7, " "): 2})
+    hot = docs(spark, *[(5, passage(i, 20)) for i in range(70, 90)], *[(None, passage(i, 20)) for i in range(80, 100)], *[(None, a)] * 20)
+    texts = [r.text for r in corpus_pipeline.near_duplicates(spark, hot.repartition(3), "").collect()]
+    assert sorted(texts) == sorted({r.text for r in hot.collect()})
