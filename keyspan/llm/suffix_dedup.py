@@ -17,8 +17,9 @@ Documents of equal bytes are one class: with ``LENGTH`` bytes or more, all of it
 a run, a range or one document in memory; hot strings are front-coded, collapsed to one context, or split over ranges.
 
 Edge cases: null and empty texts have no bytes. Texts shorter than ``LENGTH`` are never cut. Rows with a null doc_id are
-kept whole and are no one's repetition. Rows that share a doc_id are documents of their own. Extra columns are not
-looked at. Grams compare by 64 bits, contexts and windows by 128 bits of xxHash.
+kept whole and are no one's repetition. Rows that share a doc_id are documents of their own: a text is found by 64 bits
+of its id and itself. Extra columns are not looked at. Grams compare by 64 bits, contexts and windows by 128 bits of
+xxHash.
 """
 
 from __future__ import annotations
@@ -239,7 +240,7 @@ class LoserTree:
 
 # --- steps
 
-ROWS = "doc_id bigint, n_bytes bigint, cls bigint, whole string"
+ROWS = "doc_id bigint, row bigint, n_bytes bigint, cls bigint, whole string"
 ANCHORS = "known boolean, gram bigint, cls bigint, place bigint"
 NUMBERS = "cls bigint, place bigint, low bigint, high bigint, gram bigint"
 CONTEXTS = f"{NUMBERS}, before binary, after binary"
@@ -248,7 +249,7 @@ CONTEXTS = f"{NUMBERS}, before binary, after binary"
 def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         raw = [_bytes_of(t) for t in frame["text"]]
-        yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_bytes": list(map(len, raw)), "cls": list(map(_class_of, raw)), "whole": [hashlib.sha256(r).hexdigest() for r in raw]})
+        yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "row": frame["row"], "n_bytes": list(map(len, raw)), "cls": list(map(_class_of, raw)), "whole": [hashlib.sha256(r).hexdigest() for r in raw]})
 
 
 def _anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -439,14 +440,15 @@ def _window_prints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeated_spans(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """cls, start and stop of spans of removed bytes, overlapping ones not joined; ``names``: cls and doc_id of each class."""
+    """cls, start and stop of spans of removed bytes, overlapping ones not joined, and the texts they may be in; ``names``:
+    cls and row of each class."""
     scanned = stored(docs.select("text").mapInPandas(_anchors, ANCHORS), "anchors")
     places = "gram bigint, cls bigint, place bigint"
     lone = scanned.where("NOT known").select("gram", "cls", "place")
     met = lone.repartition("gram").sortWithinPartitions("gram", "cls", "place").mapInPandas(_repeated(1, places), places)
     asked = met.unionByName(scanned.where("known").select("gram", "cls", "place")).groupBy("cls").agg(F.collect_set("place").alias("places"))
     # all that follows looks only at texts with a gram that repeats
-    suspects = stored(docs.join(asked.join(names, "cls"), "doc_id").select("cls", "text", "places"), "suspects")
+    suspects = stored(docs.join(asked.join(names, "cls"), "row").select("cls", "text", "places"), "suspects")
     digests = "gram bigint, d1 bigint, d2 bigint, cls bigint, place bigint, low bigint, high bigint"
     made = stored(suspects.mapInPandas(_contexts(digests, _digest), digests), "digests")
     order = ["gram", "d1", "d2", "cls", "place", "low", "high"]
@@ -492,6 +494,8 @@ def _cut(with_text: bool):
             rows = []
             for cls, text, spans in frame[["cls", "text", "spans"]].itertuples(index=False):
                 raw, kept, at = _bytes_of(text), [], 0
+                if _class_of(raw) != cls:  # another text of the same row hash
+                    continue
                 joined = merged_spans((s["start"], s["stop"]) for s in spans)
                 for a, b in joined:
                     kept.append(raw[at:a])
@@ -508,11 +512,11 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; ``with_text``: kept too, where something was cut (else null)."""
-    docs = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
+    docs = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     rows = stored(docs.mapInPandas(_rows, ROWS), "rows")
     long = rows.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= LENGTH))
-    classes = stored(long.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
-    spans, suspects = repeated_spans(docs.where("doc_id IS NOT NULL"), classes.select("cls", "doc_id"))
+    classes = stored(long.groupBy("cls").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "classes")
+    spans, suspects = repeated_spans(docs.where("doc_id IS NOT NULL"), classes.select("cls", "row"))
     single = classes.where("copies = 1").select("cls")
     listed = spans.join(single, "cls", "left_semi").groupBy("cls").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     cut = suspects.select("cls", "text").join(listed, "cls").mapInPandas(_cut(with_text), CUT)

@@ -315,6 +315,14 @@ def test_suffix_dedup_of_null_ids_and_nothing(spark):
     assert suffix_dedup.remove(docs(spark).limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_texts_that_share_an_id(spark):
+    r = random.Random(12)
+    a, b, c = ("".join(r.choice("abcdefgh ") for _ in range(n)) for n in (500, 450, 420))
+    texts = [a + " one", "two " + a + b, b + c, "other " * 20 + c, "alone " + c[:300]]
+    got = Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove(docs(spark, *[(7, t) for t in texts])).collect())
+    assert got == Counter((7, *x) for x in brute_spans(texts))
+
+
 # --- 10
 
 STEMS = {"aa": ["kal", "mor", "tun", "vek"], "bb": ["schi", "heit", "ung", "ber"], "cc": ["oui", "eau", "ille", "ment"]}
