@@ -17,7 +17,8 @@ Documents of equal bytes are one class: with ``LENGTH`` bytes or more, all of it
 a run, a range or one document in memory; hot strings are front-coded, collapsed to one context, or split over ranges.
 
 Edge cases: null and empty texts have no bytes. Texts shorter than ``LENGTH`` are never cut. Rows with a null doc_id are
-kept whole and are no one's repetition. Rows that share a doc_id are documents of their own: a text is found by 64 bits
+searched and cut like others with ``nameless``, as the query does; without it they are kept whole and are no one's
+repetition. Rows that share a doc_id are documents of their own: a text is found by 64 bits
 of its id and itself. Extra columns are not looked at. Grams compare by 64 bits, contexts and windows by 128 bits of
 xxHash.
 """
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import salt_of, salted, stored
+from .common import SALTS, salted, stored
 from .shingles import mixed
 
 LENGTH, GRAM = 400, 64
@@ -441,14 +442,17 @@ def _window_prints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_spans(docs: DataFrame, names: DataFrame) -> DataFrame:
     """cls, start and stop of spans of removed bytes, overlapping ones not joined, and the texts they may be in; ``names``:
-    cls and row of each class."""
+    cls and row of each class, and how many rows are the same."""
     scanned = stored(docs.select("text").mapInPandas(_anchors, ANCHORS), "anchors")
     places = "gram bigint, cls bigint, place bigint"
     lone = scanned.where("NOT known").select("gram", "cls", "place")
     met = lone.repartition("gram").sortWithinPartitions("gram", "cls", "place").mapInPandas(_repeated(1, places), places)
     asked = met.unionByName(scanned.where("known").select("gram", "cls", "place")).groupBy("cls").agg(F.collect_set("place").alias("places"))
     # all that follows looks only at texts with a gram that repeats
-    suspects = stored(docs.join(asked.join(names, "cls"), "row").select("cls", "text", "places"), "suspects")
+    found = docs.join(asked.join(names, "cls"), "row").select("cls", "text", "places", "same")
+    if not names.where("same > 1").isEmpty():  # of rows that are the same, one goes on
+        found = found.where("same = 1").unionByName(found.where("same > 1").dropDuplicates(["cls"]))
+    suspects = stored(found.drop("same"), "suspects")
     digests = "gram bigint, d1 bigint, d2 bigint, cls bigint, place bigint, low bigint, high bigint"
     made = stored(suspects.mapInPandas(_contexts(digests, _digest), digests), "digests")
     order = ["gram", "d1", "d2", "cls", "place", "low", "high"]
@@ -510,22 +514,25 @@ def _cut(with_text: bool):
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; ``with_text``: kept too, where something was cut (else null)."""
+def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, nameless: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; ``with_text``: kept too, where something was cut (else null);
+    ``nameless``: rows with a null doc_id are documents too."""
+    judged = F.lit(True) if nameless else F.col("doc_id").isNotNull()
     docs = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     rows = stored(docs.mapInPandas(_rows, ROWS), "rows")
-    long = rows.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= LENGTH))
-    classes = stored(long.groupBy("cls").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "classes")
-    spans, suspects = repeated_spans(docs.where("doc_id IS NOT NULL"), classes.select("cls", "row"))
+    long = rows.where(judged & (F.col("n_bytes") >= LENGTH)).groupBy("cls", "row").agg(F.count("*").alias("same"))
+    least = F.min(F.struct("same", "row")).alias("least")
+    classes = stored(long.groupBy("cls").agg(least, F.sum("same").alias("copies")).select("cls", "least.*", "copies"), "classes")
+    spans, suspects = repeated_spans(docs.where(judged), classes.select("cls", "row", "same"))
     single = classes.where("copies = 1").select("cls")
     listed = spans.join(single, "cls", "left_semi").groupBy("cls").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     cut = suspects.select("cls", "text").join(listed, "cls").mapInPandas(_cut(with_text), CUT)
     many = salted(classes.where("copies > 1").select("cls", F.lit(True).alias("copied")))
-    marked = rows.withColumn("__salt", salt_of("doc_id")).join(many, ["cls", "__salt"], "left").drop("__salt")
-    copied = F.col("copied") & F.col("doc_id").isNotNull()
+    marked = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(many, ["cls", "__salt"], "left").drop("__salt")
+    copied = F.col("copied") & judged
     marked = marked.withColumn("copied", F.coalesce(copied, F.lit(False)))
     gone = marked.where("copied").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(EMPTY).alias("kept_sha256"), F.lit("").alias("kept"))
-    own = F.when(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= LENGTH), F.col("cls"))
+    own = F.when(judged & (F.col("n_bytes") >= LENGTH), F.col("cls"))
     rest = marked.where("NOT copied").withColumn("own", own).drop("cls").join(cut.withColumnRenamed("cls", "own"), "own", "left")
     rest = rest.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("bigint")).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), "kept")
     out = gone.unionByName(rest)
@@ -533,4 +540,4 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_tex
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return remove(spark.read.parquet(f"{sf_dir}/documents.parquet"), nameless=True)

@@ -323,6 +323,15 @@ def test_suffix_dedup_of_texts_that_share_an_id(spark):
     assert got == Counter((7, *x) for x in brute_spans(texts))
 
 
+def test_suffix_dedup_query_judges_rows_of_null_id(spark, tmp_path):
+    r = random.Random(13)
+    a, b, c, d = ("".join(r.choice("abcdefgh ") for _ in range(n)) for n in (500, 450, 420, 600))
+    rows = [(1, a + " one"), (None, "two " + a), (None, b + " three"), (None, "four " + b), (None, d), (None, d), (None, d), (2, "five " + d), (None, c), (3, c), (4, "x" * 399), (None, None), (None, "short")]
+    docs(spark, *rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.op9_suffix_dedup(spark, str(tmp_path)).collect())
+    assert got == Counter((i, *x) for (i, _), x in zip(rows, brute_spans([t for _, t in rows]), strict=True))
+
+
 # --- 10
 
 STEMS = {"aa": ["kal", "mor", "tun", "vek"], "bb": ["schi", "heit", "ung", "ber"], "cc": ["oui", "eau", "ille", "ment"]}
