@@ -6,6 +6,7 @@ import heapq
 import pickle
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window
 
 from ..functions.scalars import bucket_id, dist2
-from ..session import if_small
+from ..session import if_small, scratch
 
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
@@ -65,13 +66,24 @@ def nearest_all(vectors: DataFrame, key: str, vector: str, queries: DataFrame, q
     """For each query (query_key, vector) its ``k`` nearest, by blocks of vectors held against all queries: each block keeps
     its ``k`` best a query, so that what is shuffled grows with the number of blocks, not of pairs.
 
-    Queries are a stated set of bounded size: up to ``MOST_QUERIES``."""
-    sc = vectors.sparkSession.sparkContext
-    rows = queries.select(query_key, vector).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; go through them in blocks")
+    Queries come to the driver ``MOST_QUERIES`` at a time. If they are more, the vectors are gone through once for each
+    such block, and its result is stored before the next one comes."""
+    rows = queries.select(query_key, vector).toLocalIterator()
+    block, after = list(islice(rows, MOST_QUERIES)), list(islice(rows, MOST_QUERIES))
+    if not after:
+        return _nearest_of(vectors, key, vector, block, query_key, k)
+    path = scratch(vectors.sparkSession, "nearest")
+    while block:
+        found = _nearest_of(vectors, key, vector, block, query_key, k)
+        found.write.mode("append").parquet(path)
+        block, after = after, list(islice(rows, MOST_QUERIES))
+    return vectors.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def _nearest_of(vectors: DataFrame, key: str, vector: str, rows: Sequence, query_key: str, k: int) -> DataFrame:
+    """query_key, key, distance and rank of the ``k`` nearest to each of ``rows`` (id, vector)."""
     ids = [r[0] for r in rows]
-    shared = sc.broadcast(np.array([r[1] for r in rows], np.float32).reshape(len(rows), -1))
+    shared = vectors.sparkSession.sparkContext.broadcast(np.array([r[1] for r in rows], np.float32).reshape(len(rows), -1))
     out_type = f"{query_key} bigint, {key} bigint, distance float"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,6 +106,7 @@ def nearest_all(vectors: DataFrame, key: str, vector: str, queries: DataFrame, q
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Queries that are broadcast together.
 MOST_QUERIES = 10_000
 
 

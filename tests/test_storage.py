@@ -117,6 +117,17 @@ def test_vectors(spark):
     assert [r.k for r in vectors.nearest_allowed(df, "k", "v", [0.9, 0, 0], 1, allowed).collect()] == [1]
 
 
+def test_nearest_all_goes_through_queries_in_blocks(spark, monkeypatch):
+    x = _rows(60, 8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k bigint, v array<float>").repartition(3)
+    d = ((x[:, None].astype(np.float64) - x[None]) ** 2).sum(2).astype(np.float32)
+    want = sorted((q, i, rank) for q in range(0, 60, 2) for rank, i in enumerate(np.lexsort((np.arange(60), d[q]))[:4].tolist(), 1))
+    for most in (7, 15, 30, 100):
+        monkeypatch.setattr(vectors, "MOST_QUERIES", most)
+        got = vectors.nearest_all(df, "k", "v", df.where("k % 2 = 0").select(F.col("k").alias("q"), "v"), "q", 4)
+        assert sorted((r.q, r.k, r["rank"]) for r in got.collect()) == want
+
+
 def _rows(n=400, dim=64):
     x = np.random.default_rng(42).normal(size=(n, dim)).astype(np.float32)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
