@@ -5,12 +5,12 @@ score neighbours, and forward-backward gives each word's marginal. A document's
 mean marginal over all its words, which is also the score.
 
 The field is fitted on the driver to a bounded sample: ``SAMPLE_DOCS`` labelled documents a language, drawn by a hash
-of the id over all of them, ``SAMPLE_WORDS`` words of each. Half of the training sequences are spliced from pieces of
+of the id over all of them, ``SAMPLE_WORDS`` words of each, in runs spread over its whole text. Half of the training sequences are spliced from pieces of
 several documents, so that transitions between languages are learned.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; so is every text if nothing was labelled.
-Repeated rows are judged alike. Ties go to the language first in text order. Long texts are one chain. Extra columns
-are kept; ``lang_pred`` and ``score`` replace columns of their names.
+Repeated rows are judged alike. Ties go to the language first in text order. Long texts are one chain. Runs of
+more than ``SEEN`` letters are judged in overlapping pieces, each a word of the chain. Extra columns are kept; ``lang_pred`` and ``score`` replace columns of their names.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ SAMPLE_DOCS, SAMPLE_WORDS = 200, 400
 #: Words of a training sequence, and the sizes of spliced pieces.
 SEQUENCE, PIECES = 48, (3, 16)
 BUCKETS = 1 << 16
-#: Characters of a word that n-grams see: of a longer one the first and last halves.
+#: Letters of a word; a longer run is several, which share three letters or more with the next, so that no n-gram is lost.
 SEEN = 24
 LEXICON = 300
 EPOCHS, RATE, DECAY = 40, 0.35, 1e-6
@@ -40,16 +40,37 @@ EPOCHS, RATE, DECAY = 40, 0.35, 1e-6
 TOGETHER, REMEMBERED = 1_000_000, 400_000
 
 
+def words_of(text: str) -> list[str]:
+    """The lower-case words of a text, long ones in pieces."""
+    found = WORD.findall(text.lower())
+    return [p for w in found for p in _pieces(w)] if any(len(w) > SEEN for w in found) else found
+
+
+def _pieces(word: str) -> list[str]:
+    """Pieces of ``SEEN`` letters, evenly spread over the word; the word if it has no more."""
+    rest = len(word) - SEEN
+    if rest <= 0:
+        return [word]
+    n = -(-rest // (SEEN - 3))
+    return [word[i * rest // n : i * rest // n + SEEN] for i in range(n + 1)]
+
+
+def _drawn(words: list[str]) -> list[str]:
+    """``SAMPLE_WORDS`` of the words, in runs evenly spread over all of them; all if they are no more."""
+    rest, n = len(words) - PIECES[1], SAMPLE_WORDS // PIECES[1]
+    if len(words) <= SAMPLE_WORDS:
+        return words
+    return [w for i in range(n) for w in words[i * rest // (n - 1) : i * rest // (n - 1) + PIECES[1]]]
+
+
 def _characters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of ``^word$`` padded with zeros, and the lengths."""
-    half = SEEN // 2
-    cut = [w if len(w) <= SEEN else w[:half] + w[-half:] for w in words]
-    size = np.fromiter(map(len, cut), np.int64, len(cut))
-    body = np.array(cut, dtype=f"U{SEEN}").view(np.uint32).reshape(len(cut), SEEN)
-    out = np.zeros((len(cut), SEEN + 2), np.uint32)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    body = np.array(words, dtype=f"U{SEEN}").view(np.uint32).reshape(len(words), SEEN)
+    out = np.zeros((len(words), SEEN + 2), np.uint32)
     out[:, 0] = 2
     out[:, 1:-1] = body
-    out[np.arange(len(cut)), size + 1] = 3
+    out[np.arange(len(words)), size + 1] = 3
     return out, size + 2
 
 
@@ -172,7 +193,7 @@ class Field:
 
 def fit(texts: list[tuple[str, str]], seed: int = 7) -> Field | None:
     """A field from (text, language) pairs, by adaptive gradient steps on the mean log-likelihood of the sequences."""
-    docs = [(WORD.findall(t.lower())[:SAMPLE_WORDS], lang) for t, lang in sorted(texts)]
+    docs = [(_drawn(words_of(t)), lang) for t, lang in sorted(texts)]
     docs = [(w, lang) for w, lang in docs if w]
     langs = sorted({lang for _, lang in docs})
     if not langs:
@@ -281,7 +302,7 @@ def identify(docs: DataFrame, field: Field | None, text: str = "text") -> DataFr
         own = shared.value
         for texts in frames:
             pred, score = np.full(len(texts), UND, dtype=object), np.zeros(len(texts))
-            rows = ((i, WORD.findall(t.lower())) for i, t in enumerate(texts) if t)
+            rows = ((i, words_of(t)) for i, t in enumerate(texts) if t)
             lettered = ((i, w) for i, w in rows if own and any(c.isalpha() for x in w for c in x))
             for part in in_blocks(lettered, lambda r: len(r[1]), TOGETHER):
                 share = own.shares([w for _, w in part])
@@ -297,10 +318,15 @@ def identify(docs: DataFrame, field: Field | None, text: str = "text") -> DataFr
 
 
 def label_words(texts: list[str], field: Field) -> list[list[tuple[str, str]]]:
-    """Each text's words with their likeliest languages."""
+    """Each text's words with their likeliest languages; of a long one, that of its pieces together."""
     docs = [WORD.findall(t.lower()) for t in texts]
-    marked = iter(field.marginals([d for d in docs if d]))
-    return [[(w, field.langs[k]) for w, k in zip(d, next(marked).argmax(axis=1), strict=True)] if d else [] for d in docs]
+    pieces = [[_pieces(w) for w in d] for d in docs]
+    marked = iter(field.marginals([[p for ps in d for p in ps] for d in pieces if d]))
+    out = []
+    for d, own in zip(docs, pieces, strict=True):
+        starts = np.cumsum([0, *map(len, own)])[:-1]
+        out.append([(w, field.langs[k]) for w, k in zip(d, np.add.reduceat(next(marked), starts).argmax(axis=1), strict=True)] if d else [])
+    return out
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -356,6 +356,26 @@ def test_language_id(spark):
     assert language_id.identify(d, None).where("lang_pred <> 'und'").count() == 0 and language_id.identify(d.limit(0), field).count() == 0
 
 
+def test_language_of_long_runs_is_that_of_all_their_letters():
+    r = random.Random(14)
+    field = language_id.fit([(sentence(r, lang, 40), lang) for lang in STEMS for _ in range(20)])
+    glued = ["".join(r.choice(STEMS[lang]) for _ in range(300)) for lang in STEMS]
+    ends = ["".join(r.choice(STEMS["aa"]) for _ in range(5)) for _ in range(2)]
+    texts = [ends[0] + g + ends[1] for g in glued]
+    assert [field.langs[field.shares([language_id.words_of(t)])[0].argmax()] for t in texts] == list(STEMS)
+    assert language_id.label_words(texts, field) == [[(t, lang)] for t, lang in zip(texts, STEMS, strict=True)]
+    for n in (24, 25, 45, 46, 700):
+        own = language_id.words_of("".join(chr(0x4E00 + i) for i in range(n)))
+        assert {p[i : i + 4] for p in own for i in range(len(p) - 3)} == {"".join(chr(0x4E00 + j) for j in range(i, i + 4)) for i in range(n - 3)}
+
+
+def test_language_field_learns_from_whole_documents():
+    r = random.Random(15)
+    same = ["".join(r.choice("pqrst") for _ in range(5)) for _ in range(400)]
+    field = language_id.fit([(" ".join(same) + " " + sentence(r, lang, 1200), lang) for lang in STEMS for _ in range(5)])
+    assert [field.langs[field.shares([language_id.words_of(sentence(r, lang, 20))])[0].argmax()] for lang in STEMS] == list(STEMS)
+
+
 def test_marginals_are_forward_backward():
     r = random.Random(1)
     field = language_id.fit([(sentence(r, lang, 40), lang) for lang in STEMS for _ in range(10)])
