@@ -16,8 +16,10 @@ ROW = "__row"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: texts that are null or have no letter."""
+    """Drops documents whose language can't be told: texts that are null or have no letter, even if nothing was labelled."""
     field = language_id.train(docs, F.col("doc_id").isNotNull())
+    if field is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return language_id.identify(docs, field).where(F.col("lang_pred") != language_id.UND).select(*docs.columns)
 
 

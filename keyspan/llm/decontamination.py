@@ -10,7 +10,8 @@ are read once a block and never shuffled.
 
 Edge cases: null and empty texts have no leaks; an item of fewer than five words is one shingle of all of them, and an
 item without words matches nothing. A document shorter than an item is one window. Repeated rows give equal results;
-items of one text each match. Of equally similar windows the first is reported. Items with a null id are skipped.
+items of one text each match. Of equally similar windows the first is reported. Items with a null id are
+skipped by ``mark``, unless ``nameless``; ``clean`` searches them too.
 Extra columns are kept; ``leaks`` replaces a column of its name.
 """
 
@@ -172,10 +173,10 @@ def _seeker(shared: Broadcast):
     return F.pandas_udf(run, LEAKS)
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with the column leaks: the items a document holds, each with its best window."""
+def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", nameless: bool = False, **options) -> DataFrame:
+    """``docs`` with the column leaks: the items a document holds, each with its best window; ``nameless``: items of null id too."""
     sc = docs.sparkSession.sparkContext
-    items = benchmark.where(benchmark["item_id"].isNotNull()).select(benchmark["item_id"].cast("bigint").alias("item_id"), benchmark["text"].cast("string").alias("text"))
+    items = (benchmark if nameless else benchmark.where(benchmark["item_id"].isNotNull())).select(benchmark["item_id"].cast("bigint").alias("item_id"), benchmark["text"].cast("string").alias("text"))
     out = appended(docs, {"leaks": F.array().cast(LEAKS)})
     for block in in_blocks(((r["item_id"], r["text"]) for r in items.toLocalIterator()), lambda r: 1 + len(r[1] or "") // 6, BLOCK_WORDS):
         found = _seeker(sc.broadcast(Index(block, **options)))
@@ -184,8 +185,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without leaks."""
-    return mark(docs, benchmark, **options).where(F.size("leaks") == 0).select(*docs.columns)
+    """The documents without leaks of any item, those of null id included."""
+    return mark(docs, benchmark, nameless=True, **options).where(F.size("leaks") == 0).select(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ uniform value hashed from the seed and the document's id, so that it does not ch
 Documents are exploded by their count and dealt out at random. Only DataFrame functions are used.
 
 Edge cases: a null source is a source of its own; a source without a weight has the weight 0 when weights are given.
-Rows that share a doc_id draw the same number; a null doc_id draws by the text "null". Empty and long texts are
+Rows that share a doc_id draw the same number; rows of a null doc_id draw by their text. Empty and long texts are
 treated like others. An empty table gives an empty result. ``mix_copy`` and ``mix_key`` replace columns of these names.
 """
 
@@ -67,22 +67,24 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None, source: str, tot
     return out.select("__source", "__mean", "__chunks", poisson_cdf(F.col("__mean") / F.col("__chunks")).alias("__cdf")), n_sources
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, source: str = "source", doc_id: str = "doc_id", total: float | None = None, seed: str = SEED, shuffle: bool = True) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, source: str = "source", doc_id: str = "doc_id", text: str = "text", total: float | None = None, seed: str = SEED, shuffle: bool = True) -> DataFrame:
     """``docs`` repeated and shuffled: columns of ``docs``, then mix_copy (from 1) and mix_key (the order)."""
     rate, n_sources = rates(docs, weights, source, total)
     docs = appended(docs, {"__src": F.coalesce(F.concat(F.lit("="), docs[source].cast("string")), F.lit("null"))})
+    by_text = F.concat(F.lit("null:"), F.md5(docs[text].cast("string").cast("binary"))) if text in docs.columns else F.lit(None)
+    docs = docs.withColumn("__id", F.coalesce(docs[doc_id].cast("string"), by_text, F.lit("null")))
     rate = rate.withColumn("__src", F.coalesce(F.concat(F.lit("="), F.col("__source").cast("string")), F.lit("null"))).drop("__source")
     if n_sources <= BROADCAST_SOURCES:
         with_rate = docs.join(F.broadcast(rate), "__src")
     else:
-        with_rate = docs.withColumn("__salt", salt_of(doc_id)).join(salted(rate), ["__src", "__salt"]).drop("__salt")
-    draws = F.transform(F.sequence(F.lit(0), F.col("__chunks") - 1), lambda i: inverse(F.col("__cdf"), uniform(seed, F.col(doc_id), i)))
+        with_rate = docs.withColumn("__salt", salt_of("__id")).join(salted(rate), ["__src", "__salt"]).drop("__salt")
+    draws = F.transform(F.sequence(F.lit(0), F.col("__chunks") - 1), lambda i: inverse(F.col("__cdf"), uniform(seed, F.col("__id"), i)))
     count = F.aggregate(draws, F.lit(0), lambda a, b: a + b)
     counted = with_rate.withColumn("__count", count).where("__count > 0").drop("__cdf", "__mean", "__chunks", "__src")
     counted = counted.drop("mix_copy", "mix_key")
     out = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__count")))).drop("__count")
-    digest = F.md5(F.concat_ws(":", F.lit(seed + "/order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("mix_copy").cast("string")))
-    out = out.withColumn("mix_key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
+    digest = F.md5(F.concat_ws(":", F.lit(seed + "/order"), F.col("__id"), F.col("mix_copy").cast("string")))
+    out = out.withColumn("mix_key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")).drop("__id")
     return out.repartition("mix_key").sortWithinPartitions("mix_key") if shuffle else out
 
 

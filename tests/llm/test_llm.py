@@ -424,6 +424,27 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path, extra):
             assert all("@" not in x.text for x in d.collect())
 
 
+def test_language_stage_without_labels_keeps_texts_with_letters(spark):
+    import corpus_pipeline
+
+    d = docs(spark, (1, "kal mor"), (None, "été"), (2, "12 ²!"), (3, ""), (4, None))
+    assert sorted(r.text for r in corpus_pipeline.language(spark, d, "").collect()) == ["kal mor", "été"]
+
+
+def test_items_of_null_id_are_searched(spark):
+    bench = spark.createDataFrame([(None, passage(1, 40)), (2, passage(2, 40))], "item_id bigint, text string")
+    d = docs(spark, (1, "x " + passage(1, 40)), (2, passage(2, 40)), (3, passage(3, 40)))
+    assert [r.doc_id for r in decontamination.clean(d, bench).collect()] == [3]
+
+
+def test_mixing_draws_for_each_text_of_null_id(spark):
+    d = docs(spark, *[(None, f"t{i}", None, "hot") for i in range(600)], *[(i, "x", None, "cold") for i in range(100)])
+    got = mixing.mix(d, {"hot": 1.0, "cold": 1.0}, total=400)
+    hot = got.where("source = 'hot'")
+    assert abs(hot.count() - 200) < 70 and hot.select("mix_key").distinct().count() == hot.count()
+    assert got.columns == [*d.columns, "mix_copy", "mix_key"] and set(hot.select("text").collect()) == set(mixing.mix(d, {"hot": 1.0, "cold": 1.0}, total=400).where("source = 'hot'").select("text").collect())
+
+
 def test_near_duplicates_keeps_one_row_of_each_group(spark):
     import corpus_pipeline
 
