@@ -5,23 +5,27 @@ A document's set are its distinct word shingles. Documents of equal sets form a
 
 *Small sets* (up to a boundary) enumerate their subsets of the overlap that a pair of sizes needs: two sets link exactly
 when they share such a subset, so the members of a subset's bucket are linked without further checks and a star of
-links stands for all of them. *Large sets* are indexed by inverted lists of a prefix: with the shingles ordered, linked
-sets share one of the first ``n - ceil(n * percent / 100) + 1`` shingles of each. The boundary is where enumerating
+links stands for all of them. *Large sets* are scanned through inverted lists. The boundary is where enumerating
 would cost more than scanning, summed over the histogram of set sizes.
 
-The order of shingles puts common ones last. How common a shingle is comes from counters over all documents (a fixed
-number of them, hence a broadcast of fixed size); any counts give the same links, good ones give short lists.
+Texts are cut into words once. That pass sends the first shingles of each large set in the order of their hashes, some
+more than one shared shingle needs, so that linked sets share ``few`` of them; a class that has fewer shingles there which
+any other class has links with none. The classes that remain are few. Their whole sets are stored, and shingles are
+counted exactly: a shingle of one class only adds to no overlap, so the lists hold the rarest of the others, as far as
+linked sets must share one of them.
 
-Lists are not expanded into all pairs. First each class is verified against one partner from its lists, and links make
-components. Then, in a few turns, classes are verified against hubs of other components in their lists, which joins nearly
-all that links. Last, all pairs of classes of components that still differ, share enough list entries and agree in place
-are verified, which is exact: a pair of one component needs no link any more. Verification streams members past the set
-of one partner of their group, groups are split by salt beyond ``GROUP`` members. Components spread the least class id with pointer jumping.
+Lists are not expanded into all pairs. In a few turns, classes are verified against hubs of other components in their
+lists (the classes whose shingles are the most frequent ones, as a text is that many copies stem from); links make
+components. Last, all pairs of classes of components that still differ are verified, which is exact: a pair of one
+component needs no link any more. A list's largest component meets the others, never itself. Each entry says
+how many shingles of the set are its own and has 256 parities of the others, hence a bound on what two sets
+can share; only pairs that can link come out of a list. Components spread the least class id with pointer jumping.
 
 Edge cases: empty and null texts have empty sets, link with nothing and are their own component. A null doc_id has its
-set size and a null component, and links with nothing. Rows that share a doc_id are documents of their own; their class
-is named by the least doc_id in it. Fewer words than a shingle make one shingle of all of them. Extra columns are not
-looked at. Classes are named by 63 bits of a digest of their sets.
+set size and a null component, and links with nothing. Rows that share a doc_id are documents of their own (rows are
+known by 64 bits of id and text); their class is named by the least doc_id in it. Repeated rows are one class. Fewer words
+than a shingle make one shingle of all of them. Texts of any length are one set. Extra columns are not looked at. Classes
+are named by 63 bits of a digest of their sets.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,24 +47,21 @@ from pyspark.sql.window import Window
 from .common import if_small, stored
 from .shingles import mixed, shingles, word_hashes
 
-#: Counters of how common shingles are (4 MB when broadcast), and shingles counted together by a task.
-COUNTERS_LOG2, COUNTED = 22, 4_000_000
-#: A shingle enters the counters if a task saw it this often among those.
-COMMON = 2
 #: No boundary above this is tried; the histogram of sizes up to it goes to the driver.
 MOST_BOUNDARY = 40
 #: Cost of scanning and verifying one list entry, in enumerated subsets.
 LIST_COST = 4.0
-#: List places in which a class looks for its first partner.
-FIRST = 10
-#: Places that a first partner must share.
-FEW = 3
+#: Shingles that a task looks at together for ones that several of its classes have.
+COMBINED = 1 << 20
 #: Members verified by one task's stream against one partner.
 GROUP = 500
 ROUNDS = 60
 #: Turns in which classes are verified against hubs of their lists before all pairs of different components are, hubs of a
 #: list, and those of them that a class is verified against.
-TURNS, HUBS, PICKS = 2, 8, 2
+TURNS, HUBS, PICKS = 3, 4, 2
+#: Parities of an entry, in words of 64.
+WORDS = 4
+PARITIES = [f"p{i}" for i in range(WORDS)]
 
 
 @dataclass(frozen=True)
@@ -73,10 +75,19 @@ class Measure:
         """The least overlap of linked sets of these sizes."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
-    def least_size(self, n: int) -> int:
-        """The least size of a set that links with one of ``n``."""
+    def least_size(self, n):
+        """The least size of a set that links with one of ``n``, which is also the least overlap of its links."""
         return -(-self.percent * n // 100)
 
+    def few(self, n: int) -> int:
+        """How many shingles of the first ones sent two linked sets of ``n`` share; it does not fall with ``n``."""
+        return 1 + (n - self.least_size(n)) // 2
+
+    def sent(self, n: int) -> int:
+        """How many first shingles of a set are sent. Of the overlap, the first ``few`` in the order are followed by at
+        least ``least_size - few`` others in either set, so they stand among these."""
+        return min(n, n - self.least_size(n) + self.few(n))
+
     def set_of(self, text: str | None) -> np.ndarray:
         """Sorted distinct shingle hashes; words are cut at ASCII white space and A-Z lower-cased."""
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -87,47 +98,61 @@ def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
-# --- sets, classes, and counters of common shingles
+# --- sets, classes, and first shingles
 
-SETS = "part int, id bigint, n int, cls bigint"
+ROW, SENT, KNOWN, SMALL = range(4)
+SETS = "part int, id bigint, row bigint, n int, cls bigint"
 
 
-def _sets(measure: Measure):
-    """part 0: doc_id, set size and class of each document; part 1: counter and count of common shingles."""
+def _rows_of(part: int, ids, row, n, cls) -> pd.DataFrame:
+    out = pd.DataFrame({"part": np.int32(part), "id": ids, "row": row, "n": n, "cls": cls})
+    return out.astype({"part": "int32", "id": "Int64", "row": "int64", "n": "int32", "cls": "int64"})
 
-    def counted(held: list[np.ndarray]) -> pd.DataFrame:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= COMMON
-        return pd.DataFrame({"part": 1, "id": (values[often] >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64), "n": counts[often].astype(np.int32), "cls": 0})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        size = 0
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                s = measure.set_of(text)
-                rows.append((0, doc_id, len(s), class_of(s)))
-                held.append(s)
-                size += len(s)
-                if size >= COUNTED:
-                    yield counted(held)
-                    held, size = [], 0
-            out = pd.DataFrame(rows, columns=["part", "id", "n", "cls"])
-            out["id"] = out["id"].astype("Int64")
-            yield out
-        if size:
-            yield counted(held)
+def _sets(frames: Iterator[pd.DataFrame], measure: Measure) -> Iterator[pd.DataFrame]:
+    """ROW: doc_id, row, set size and class of each document. SMALL: the shingles of small sets. SENT: first shingles of large
+    sets; one that several classes of the task have comes once, of class -1, and KNOWN counts such shingles of a class."""
+    seen: set[int] = set()
+    held: list[tuple[np.ndarray, int]] = []
 
-    return run
+    def combined() -> Iterator[pd.DataFrame]:
+        tokens = np.concatenate([s for s, _ in held])
+        cls = np.repeat([c for _, c in held], [len(s) for s, _ in held])
+        held.clear()
+        values, place, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        several = counts[place] > 1
+        alone = ~several
+        yield _rows_of(SENT, tokens[alone].view(np.int64), 0, 0, cls[alone])
+        common = values[counts > 1]
+        yield _rows_of(SENT, common.view(np.int64), 0, 0, np.full(len(common), -1))
+        own, n = np.unique(cls[several], return_counts=True)
+        yield _rows_of(KNOWN, 0, 0, n, own)
 
-
-def _levels(counts: DataFrame) -> np.ndarray:
-    """The logarithm of how common each counter's shingles are; at most ``2 ** COUNTERS_LOG2`` rows come to the driver."""
-    rows = counts.groupBy("id").agg(F.sum("n").alias("n")).select(F.col("id").cast("int"), (F.log2("n") + 1).cast("byte").alias("level")).toArrow()
-    levels = np.zeros(1 << COUNTERS_LOG2, np.uint8)
-    levels[rows["id"].to_numpy()] = rows["level"].to_numpy()
-    return levels
+    size = 0
+    for frame in frames:
+        rows, small = [], []
+        for doc_id, row, text in zip(frame["doc_id"], frame["row"], frame["text"], strict=True):
+            s = measure.set_of(text)
+            cls, n = class_of(s), len(s)
+            rows.append((doc_id, row, n, cls))
+            if not n or pd.isna(doc_id) or cls in seen:
+                continue
+            if len(seen) < 200_000:  # copies within a task are one class
+                seen.add(cls)
+            if n <= MOST_BOUNDARY:
+                small.append((s, cls))
+            else:
+                first = s[: measure.sent(n)].copy()
+                held.append((first, cls))
+                size += len(first)
+                if size >= COMBINED:
+                    yield from combined()
+                    size = 0
+        yield _rows_of(ROW, *map(list, zip(*rows, strict=True))) if rows else _rows_of(ROW, [], [], [], [])
+        if small:
+            yield _rows_of(SMALL, np.concatenate([s for s, _ in small]).view(np.int64), 0, 0, np.repeat([c for _, c in small], [len(s) for s, _ in small]))
+    if held:
+        yield from combined()
 
 
 def boundary(sizes: dict[int, int], measure: Measure) -> int:
@@ -144,13 +169,14 @@ def boundary(sizes: dict[int, int], measure: Measure) -> int:
     return min(range(MOST_BOUNDARY + 1), key=lambda x: (total(x), x))
 
 
-# --- list entries and subsets
+# --- small sets: subsets of the overlap
 
-ENTRIES = "part int, token bigint, meta bigint, cls bigint"
+#: side 0 and 1: the smaller and the larger partner of a pair of sizes; 2: either of equal sizes; 3: a first shingle for the lists.
+SUBSETS = "side int, token bigint, cls bigint"
 
 
 def _enumerated(s: np.ndarray, top: int, measure: Measure) -> Iterator[tuple[int, int]]:
-    """(part, key) of each subset of each overlap size needed: part 1 for partners of equal size, 2 for others."""
+    """(side, key) of each subset of each overlap size needed."""
     n, m = len(s), mixed(s)
     whole = int(m.sum(dtype=np.uint64))
     values = m.tolist()
@@ -158,86 +184,195 @@ def _enumerated(s: np.ndarray, top: int, measure: Measure) -> Iterator[tuple[int
         if measure.least_size(b) <= n:
             low, high = min(n, b), max(n, b)
             for left_out in combinations(values, n - measure.overlap(n, b)):
-                yield (1 if n == b else 2), (whole - sum(left_out)) ^ (low * 1_000_003 + high)
-
-
-def _entries(measure: Measure, levels, top: int, least_listed: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        level, seen = levels.value, set()
-        for frame in frames:
-            columns: list[tuple[np.ndarray, ...]] = []
-            for text in frame["text"]:
-                s = measure.set_of(text)
-                n, cls = len(s), class_of(s)
-                if not n or cls in seen:
-                    continue
-                if len(seen) < 500_000:  # copies within a task are one class
-                    seen.add(cls)
-                if n <= top:
-                    made = list(_enumerated(s, top, measure))
-                    if made:
-                        parts, keys = zip(*made, strict=True)
-                        columns.append((np.array(parts, np.int32), mixed(np.array([x & (2**64 - 1) for x in keys], np.uint64)).view(np.int64), np.full(len(keys), n << 31), np.full(len(keys), cls)))
-                if n >= least_listed:
-                    p = n - measure.least_size(n) + 1
-                    common = level[(s >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]
-                    first = s[np.lexsort((s, common))[:p]]
-                    columns.append((np.zeros(p, np.int32), first.view(np.int64), (n << 31) + np.arange(p), np.full(p, cls)))
-            if columns:
-                yield pd.DataFrame(dict(zip(("part", "token", "meta", "cls"), map(np.concatenate, zip(*columns, strict=True)), strict=True)))
-
-    return run
-
-
-#: found 0: a list entry of a list with others; 1: a link; 2: a first partner to try.
-FOUND = "found int, token bigint, a bigint, a_meta bigint, b bigint, b_n int"
-
-
-def _scan(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Entries sorted by (part, token, meta, cls), each list as it passes; of a list only its first and last row are held."""
-    first = last = None  # of the list that is open: (part, token, meta, cls)
-    alone = True  # no row of that list has been given out
+                yield (2 if n == b else int(n == high)), (whole - sum(left_out)) ^ (low * 1_000_003 + high)
+
+
+def _subsets(frames: Iterator[pd.DataFrame], measure: Measure, top: int) -> Iterator[pd.DataFrame]:
+    least_listed = measure.least_size(top + 1)
+    for frame in frames:
+        for first in range(0, len(frame), 256):
+            sides, keys, classes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for cls, tokens in frame[["cls", "tokens"]].iloc[first : first + 256].itertuples(index=False):
+                s = np.sort(np.asarray(tokens, np.int64).view(np.uint64))
+                made = list(_enumerated(s, top, measure)) if len(s) <= top else []
+                if made:
+                    side, key = zip(*made, strict=True)
+                    sides.append(np.array(side, np.int32))
+                    keys.append(mixed(np.array([x & (2**64 - 1) for x in key], np.uint64)).view(np.int64))
+                    classes.append(np.full(len(key), cls))
+                if len(s) >= least_listed:
+                    own = s[: measure.sent(len(s))].view(np.int64)
+                    sides.append(np.full(len(own), 3, np.int32))
+                    keys.append(own)
+                    classes.append(np.full(len(own), cls))
+            yield pd.DataFrame({"side": np.concatenate(sides), "token": np.concatenate(keys), "cls": np.concatenate(classes)})
+
+
+def _bucket_links(subsets: DataFrame) -> DataFrame:
+    """Links (a, b) of each bucket: of each member with the first one that may stand on the other side."""
+    low, high = F.min(F.when(F.col("side") != 1, F.col("cls"))), F.min(F.when(F.col("side") != 0, F.col("cls")))
+    pairs = subsets.groupBy("token").agg(low.alias("low"), high.alias("high"), F.max("cls").alias("last")).where("low IS NOT NULL AND high IS NOT NULL AND (low <> high OR low <> last)")
+    pairs = stored(pairs.select("token", "low", "high"), "buckets")
+    partner = F.when(F.col("side") == 0, F.col("high")).otherwise(F.col("low"))
+    return subsets.join(if_small(pairs), "token").select(F.col("cls").alias("a"), partner.alias("b")).where("a <> b").distinct()
+
+
+# --- large sets: classes that share enough first shingles
+
+
+def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Classes of the rows (sorted by token, cls) whose token another class has too, class -1 (several of a task) included;
+    only the last row is held."""
+    last, told = None, False  # the row, and whether its class is out
     for frame in frames:
-        rows = frame[["part", "token", "meta", "cls"]].to_numpy(np.int64)
-        if not len(rows):
+        token, cls = frame["token"].to_numpy(), frame["cls"].to_numpy()
+        if not len(token):
             continue
         if last is not None:
-            rows = np.concatenate([np.array([last]), rows])
-        kept = np.ones(len(rows), bool)
-        same_key = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
-        kept[1:] = ~(same_key & (rows[1:, 3] == rows[:-1, 3]) & (rows[1:, 2] == rows[:-1, 2]))
-        rows = rows[kept]
-        goes_on = np.concatenate([[False], (rows[1:, :2] == rows[:-1, :2]).all(axis=1)])
-        head = np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(rows))))
-        start = rows[head]
-        if first is not None:
-            start[head == 0] = np.array(first)
-        old = 0 if last is None or alone else 1  # the held row was given out before
-        follows = goes_on.copy()
-        follows[0] = False
+            token, cls = np.concatenate([[last[0]], token]), np.concatenate([[last[1]], cls])
+        follows = np.concatenate([[False], token[1:] == token[:-1]])
+        new = ~(follows & np.concatenate([[False], cls[1:] == cls[:-1]]))
+        token, cls, follows = token[new], cls[new], follows[new]
         shared = follows | np.concatenate([follows[1:], [False]])
-        shared[:old] = False
-        out = []
-        n = rows[:, 2] >> 31
-        lists = shared & (rows[:, 0] == 0)
-        out.append((0, lists, rows, rows))
-        before = np.concatenate([rows[:1], rows[:-1]])
-        for other in (before, start):
-            differs = follows & (other[:, 3] != rows[:, 3])
-            fits = 100 * (other[:, 2] >> 31) >= percent * n
-            early = (rows[:, 2] & (2**31 - 1)) < FIRST
-            if other is start:
-                out.append((1, differs & ((rows[:, 0] == 1) | ((rows[:, 0] == 2) & (other[:, 2] < rows[:, 2]))), rows, other))
-            out.append((2, differs & fits & early & (rows[:, 0] == 0), rows, other))
-        frames_out = [
-            pd.DataFrame({"found": np.int32(kind), "token": r[m, 1], "a": r[m, 3], "a_meta": r[m, 2], "b": o[m, 3], "b_n": (o[m, 2] >> 31).astype(np.int32)})
-            for kind, m, r, o in out
-            if m.any()
-        ]
-        if frames_out:
-            yield pd.concat(frames_out)
-        first, last = tuple(start[-1].tolist()), tuple(rows[-1].tolist())
-        alone = not (bool(follows[-1]) or (len(rows) == 1 and not alone))
+        out = shared & (cls >= 0)
+        out[0] &= not told
+        if out.any():
+            yield pd.DataFrame({"cls": cls[out]})
+        told = bool(shared[-1]) or (told and len(token) == 1)
+        last = token[-1], cls[-1]
+
+
+def _least_size(n: Column, percent: int) -> Column:
+    return F.floor((percent * n + 99) / 100).cast("int")
+
+
+def _few(n: Column, percent: int) -> Column:
+    return F.floor((n - _least_size(n, percent)) / 2).cast("int") + 1
+
+
+KEPT = "cls bigint, tokens binary"
+
+
+def _kept(frames: Iterator[pd.DataFrame], measure: Measure) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for first in range(0, len(frame), 256):
+            sets = [(cls, measure.set_of(text)) for cls, text in frame[["cls", "text"]].iloc[first : first + 256].itertuples(index=False)]
+            # a row of the same hash may have another text
+            yield pd.DataFrame([(cls, s.tobytes()) for cls, s in sets if class_of(s) == cls], columns=["cls", "tokens"]).astype({"cls": "int64"})
+
+
+def _spread(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, cls) of each shingle of stored sets."""
+    for batch in frames:
+        for first in range(0, batch.num_rows, 256):
+            part = batch.slice(first, 256)
+            own = [np.frombuffer(t.as_buffer(), np.int64) for t in part["tokens"]]
+            cls = np.repeat(part["cls"].to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(cls)], ["token", "cls"])
+
+
+ENTRIES = ", ".join(["token bigint, cls bigint, n int, own int, at int, pop float", *(f"{p} bigint" for p in PARITIES)])
+
+
+def _entries(frames: Iterator[pa.RecordBatch], measure: Measure) -> Iterator[pa.RecordBatch]:
+    """List entries of sets (cls, n, shared: structs of the shingles that other classes have, and how many have them): those
+    among the first n - least_size + 1 in the order (how many have it, hash), where ``own`` shingles of this set come first.
+
+    at: place in the order; pop: how common the set's shingles are; p0...: parities of hashes of the shared shingles."""
+    names = [c.split()[0] for c in ENTRIES.split(", ")]
+    for batch in frames:
+        for start in range(0, batch.num_rows, 256):
+            part, rows = batch.slice(start, 256), []
+            for cls, n, shared in zip(part["cls"].to_pylist(), part["n"].to_pylist(), part["shared"], strict=True):
+                token, have = (shared.values.field(k).to_numpy() for k in ("token", "have"))
+                own, listed = n - len(token), n - measure.least_size(n) + 1
+                if own >= listed:
+                    continue
+                first = token[np.lexsort((token, have))[: listed - own]]
+                bits = np.bincount((mixed(token.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+                pop = np.log2(have).sum() / n
+                rows.append((first, np.arange(own, listed), (cls, n, own, pop, *np.packbits(bits.astype(np.uint8)).view(np.int64).tolist())))
+            if rows:
+                size = [len(r[0]) for r in rows]
+                cls, n, own, pop, *words = (np.repeat(np.array(x), size) for x in zip(*(r[2] for r in rows), strict=True))
+                columns = [np.concatenate([r[0] for r in rows]), cls, n.astype(np.int32), own.astype(np.int32), np.concatenate([r[1] for r in rows]).astype(np.int32), pop.astype(np.float32), *words]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+
+def _listed(kept: DataFrame, measure: Measure) -> DataFrame:
+    """The list entries of the stored sets."""
+    spread = kept.mapInArrow(_spread, "token bigint, cls bigint")
+    spread = stored(spread, "shingles")
+    have = spread.groupBy("token").agg(F.count("*").cast("int").alias("have")).where("have > 1")
+    shared = spread.join(have, "token").groupBy("cls").agg(F.collect_list(F.struct("token", "have")).alias("shared"))
+    sizes = kept.select("cls", (F.octet_length("tokens") / 8).cast("int").alias("n"))
+    return shared.join(sizes, "cls").mapInArrow(partial(_entries, measure=measure), ENTRIES)
+
+
+# --- pairs of a list that can link
+
+
+def _can_link(one: str, other: str, percent: int) -> Column:
+    """Whether two sets that share a shingle at these places of the order can link; it holds for each shared shingle of
+    linked sets. They share no more before it than either has there besides its own ones, no more after it than the
+    shorter rest, and they differ in their own shingles and in one for each parity that differs."""
+    a, b = (lambda c: F.col(one + c)), (lambda c: F.col(other + c))
+    need = F.ceil(percent * (a("n") + b("n")) / (100 + percent))
+    sizes = (100 * a("n") >= percent * b("n")) & (100 * b("n") >= percent * a("n"))
+    before, after = F.least(a("at") - a("own"), b("at") - b("own")), F.least(a("n") - a("at"), b("n") - b("at"))
+    differ = a("own") + b("own")
+    for p in PARITIES:
+        differ = differ + F.bit_count(a(p).bitwiseXOR(b(p)))
+    return sizes & (before + after >= need) & (a("n") + b("n") - 2 * need >= differ)
+
+
+def _named(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(prefix + c) for c in rows.columns])
+
+
+def _marked(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Entries with their components, of the lists that hold more than one component."""
+    label = F.col("cls") if labels is None else F.coalesce("label", "cls")
+    rows = entries if labels is None else entries.drop("label").join(labels, "cls", "left")
+    rows = rows.withColumn("label", label)
+    rows = stored(rows, "marked") if labels is not None else rows
+    split = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("token")
+    return stored(rows.join(if_small(stored(split, "split")), "token"), "split-lists")
+
+
+def _counted(near: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share list entries enough to reach the overlap. Of the set whose entries end first in the order, all
+    shared shingles up to there are counted; the rest of it has least_size - 1 shingles, and the larger set has more."""
+    counted = near.groupBy(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"), F.col("a_n").alias("n1"), F.col("b_n").alias("n2")).agg(F.count("*").alias("shared"))
+    need = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
+    return counted.where(F.col("shared") + F.ceil(percent * F.greatest("n1", "n2") / 100) - 1 >= need)
+
+
+def _to_hubs(marked: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For each class, the ``PICKS`` hubs of other components that it shares most list entries with, if enough. A list has
+    ``HUBS`` hubs, each the class of the most common shingles among a share of the list that differs by turn."""
+    share = F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(HUBS)).alias("hub")
+    order = ["pop", *(c for c in marked.columns if c not in ("token", "pop"))]
+    hubs = marked.groupBy("token", share).agg(F.max(F.struct(*order)).alias("h")).select("token", "h.*")
+    near = _named(marked, "a_").join(_named(hubs, "b_"), (F.col("a_token") == F.col("b_token")) & (F.col("a_label") != F.col("b_label")) & _can_link("a_", "b_", percent))
+    most = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+    return _counted(near, percent).withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= PICKS).select("a", "b")
+
+
+def _crossing(marked: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that can link. In each list the component of most entries is the main one;
+    entries of the others meet all entries, so that the main one never meets itself."""
+    most = marked.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "label")).alias("m"))
+    most = stored(most.select("token", F.col("m.label").alias("main")), "main")
+    rows = marked.join(if_small(most), "token")
+    rows = stored(rows.withColumn("main", F.col("main") == F.col("label")), "sides")
+    left, right = _named(rows.where("NOT main"), "a_"), _named(rows, "b_")
+    once = F.col("b_main") | (F.col("a_cls") < F.col("b_cls"))
+    near = left.join(right, (F.col("a_token") == F.col("b_token")) & (F.col("a_label") != F.col("b_label")) & once & _can_link("a_", "b_", percent))
+    # a pair may have its main side in one list only
+    a, b = F.least("a_cls", "b_cls"), F.greatest("a_cls", "b_cls")
+    n1, n2 = (F.when(F.col("a_cls") < F.col("b_cls"), F.col(x)).otherwise(F.col(y)) for x, y in (("a_n", "b_n"), ("b_n", "a_n")))
+    return _counted(near.select(a.alias("a_cls"), b.alias("b_cls"), n1.alias("a_n"), n2.alias("b_n")), percent).select("a", "b")
 
 
 # --- verification
@@ -250,12 +385,10 @@ def _checked(frames: Iterator[pd.DataFrame], measure: Measure) -> Iterator[pd.Da
     key, partner = None, None
     for frame in frames:
         links = []
-        for group, salt, member, cls, text in frame[["grp", "salt", "member", "cls", "text"]].itertuples(index=False):
-            s = measure.set_of(text)
-            if class_of(s) != cls:  # another text of the same doc_id
-                continue
+        for group, salt, member, cls, tokens in frame[["grp", "salt", "member", "cls", "tokens"]].itertuples(index=False):
+            s = np.frombuffer(tokens, np.uint64)
             if not member:
-                key, partner = (group, salt), s
+                key, partner = (group, salt), s.copy()
             elif key == (group, salt):
                 both = np.searchsorted(partner, s)
                 shared = int((partner[np.minimum(both, len(partner) - 1)] == s).sum())
@@ -264,15 +397,14 @@ def _checked(frames: Iterator[pd.DataFrame], measure: Measure) -> Iterator[pd.Da
         yield pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, measure: Measure) -> DataFrame:
-    """The links among ``pairs`` (a, b) of classes; ``names``: cls and doc_id, a document that has it. Texts travel, which
-    are half as large as their sets."""
+def verified(pairs: DataFrame, kept: DataFrame, measure: Measure) -> DataFrame:
+    """The links among ``pairs`` (a, b) of classes; ``kept``: their sets."""
     groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
     partners = groups.select(F.col("b").alias("cls"), F.col("b").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
     # a group of many members is known by its count; its rows are spread over the salts by their class
     members = pairs.join(groups, "b").select(F.col("a").alias("cls"), F.col("b").alias("grp"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"))
-    asked = stored(partners.unionByName(members).join(names, "cls"), "asked")
-    found = docs.join(if_small(asked), "doc_id").select("grp", "salt", "member", "cls", "text")
+    asked = stored(partners.unionByName(members), "asked")
+    found = kept.join(if_small(asked), "cls").select("grp", "salt", "member", "cls", "tokens")
     return found.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "member").mapInPandas(partial(_checked, measure=measure), CHECKED)
 
 
@@ -295,65 +427,6 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 
-def _size_of(meta: str) -> Column:
-    return F.shiftright(F.col(meta), 31).cast("int")
-
-
-def _marked(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries (token, cls, meta, share), with their components, of the lists that hold more than one component."""
-    rows = rows.select("token", "cls", "meta", "share").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    rows = stored(rows, "marked")
-    split = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("token")
-    return stored(rows.join(stored(split, "split"), "token"), "split-lists")
-
-
-def _need(n1: Column, n2: Column, percent: int) -> Column:
-    return F.ceil(percent * (n1 + n2) / (100 + percent))
-
-
-def _reachable(meta_1: str, meta_2: str, percent: int) -> Column:
-    """Whether sets that share a shingle at these places of the order can reach the overlap: they share no more shingles
-    before it than the smaller place says, and no more after it than the shorter rest. It holds for each shared shingle of
-    linked sets."""
-    n1, n2 = _size_of(meta_1), _size_of(meta_2)
-    at_1, at_2 = (F.col(m).bitwiseAND(F.lit(2**31 - 1)).cast("int") for m in (meta_1, meta_2))
-    sizes = (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1)
-    return sizes & (F.least(at_1, at_2) + 1 + F.least(n1 - 1 - at_1, n2 - 1 - at_2) >= _need(n1, n2, percent))
-
-
-def _to_hubs(marked: DataFrame, percent: int, turn: int) -> DataFrame:
-    """For each class, the ``PICKS`` hubs of other components that it shares most list entries with, if enough. The hubs of
-    a list are the ``HUBS`` classes of it that share most of their listed shingles with others, as near copies of many do;
-    later turns mix the order."""
-    mix = F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(1024)) * (turn / 8192)
-    first = Window.partitionBy("token").orderBy((mix - F.col("share")), "cls")
-    hubs = marked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= HUBS)
-    hubs = hubs.select(F.col("token").alias("hub_token"), F.col("cls").alias("b"), F.col("meta").alias("b_meta"), F.col("label").alias("b_label"))
-    near = marked.join(hubs, (F.col("token") == F.col("hub_token")) & (F.col("label") != F.col("b_label")) & _reachable("meta", "b_meta", percent))
-    counted = near.groupBy(F.col("cls").alias("a"), "b", _size_of("meta").alias("n1"), _size_of("b_meta").alias("n2")).agg(F.count("*").alias("shared"))
-    most = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
-    return counted.where(_enough(percent)).withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= PICKS).select("a", "b")
-
-
-def _enough(percent: int) -> Column:
-    """Whether sets of sizes n1 and n2 with ``shared`` list entries can reach the overlap. Of the set whose listed shingles
-    end first in the order, all shared ones up to there are counted; the rest of it has least_size - 1 shingles, and the
-    larger set has more of them."""
-    rest = F.ceil(percent * F.greatest("n1", "n2") / 100) - 1
-    return F.col("shared") + rest >= _need(F.col("n1"), F.col("n2"), percent)
-
-
-def _crossing(marked: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share list entries enough to reach the overlap."""
-    left = marked.select("token", *[F.col(c).alias(f"{c}_1") for c in ("cls", "meta", "label")])
-    right = marked.select(F.col("token").alias("token_2"), *[F.col(c).alias(f"{c}_2") for c in ("cls", "meta", "label")])
-    n1, n2 = _size_of("meta_1"), _size_of("meta_2")
-    ordered = (n1 < n2) | ((n1 == n2) & (F.col("cls_1") < F.col("cls_2")))
-    pairs = left.join(right, (F.col("token") == F.col("token_2")) & (F.col("label_1") != F.col("label_2")) & ordered & _reachable("meta_1", "meta_2", percent))
-    counted = pairs.groupBy(F.col("cls_1").alias("a"), F.col("cls_2").alias("b"), n1.alias("n1"), n2.alias("n2")).agg(F.countDistinct("token").alias("shared"))
-    return counted.where(_enough(percent)).select("a", "b")
-
-
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after more links; a class without a label is a component of its own."""
     a = links.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
@@ -365,41 +438,44 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, measure: Measure = Measure(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
-    spark = docs.sparkSession
-    docs = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
-    made = stored(docs.mapInPandas(_sets(measure), SETS), "sets", ["part"])
-    rows = made.where("part = 0").select(F.col("id").alias("doc_id"), "n", "cls")
-    listed = docs.where("doc_id IS NOT NULL")
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL")
-    names = stored(classes.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
-    sizes = {r["n"]: r["count"] for r in names.where(F.col("n") <= 2 * MOST_BOUNDARY).groupBy("n").count().collect()}
+    docs = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    made = stored(docs.mapInPandas(partial(_sets, measure=measure), SETS), "sets", ["part"])
+    rows = made.where(f"part = {ROW}").select(F.col("id").alias("doc_id"), "row", "n", "cls")
+    first = F.min(F.struct("doc_id", "row", "n")).alias("first")
+    classes = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(first).select("cls", "first.*"), "classes")
+
+    sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 2 * MOST_BOUNDARY).groupBy("n").count().collect()}
     top = boundary(sizes, measure)
-    levels = spark.sparkContext.broadcast(_levels(made.where("part = 1")))
-    entries = listed.select("text").mapInPandas(_entries(measure, levels, top, measure.least_size(top + 1)), ENTRIES)
-    scanned = entries.repartition("part", "token").sortWithinPartitions("part", "token", "meta", "cls").mapInPandas(partial(_scan, percent=measure.percent), FOUND)
-    found = stored(scanned, "found", ["found"])
-    links = found.where("found = 1").select("a", "b")
-    tries = found.where("found = 2").groupBy("a", "b", _size_of("a_meta").alias("size")).agg(F.count("*").alias("n"))
-    # a first partner shares several of the first places, or all there are
-    tries = tries.where(F.col("n") >= F.least(F.lit(FEW), F.col("size") - F.ceil(measure.percent * F.col("size") / 100) + 1))
-    tries = tries.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    names = names.select("cls", "doc_id")
-    first = stored(verified(tries, listed, names, measure).union(links), "first")
-    labels = components(first)
-    marked = found.where("found = 0").select("token", F.col("a").alias("cls"), F.col("a_meta").alias("meta"))
-    size = _size_of("meta")
-    listed_of = (size - F.ceil(measure.percent * size / 100) + 1).cast("double")
-    # the entries of a class are as many as the prefix of its set: they fit in a task as the set does
-    marked = marked.withColumn("share", (F.count("*").over(Window.partitionBy("cls")) / listed_of).cast("float"))
+    # no more than MOST_BOUNDARY shingles are gathered
+    small = made.where(f"part = {SMALL}").groupBy("cls").agg(F.collect_set("id").alias("tokens"))
+    subsets = stored(small.mapInPandas(partial(_subsets, measure=measure, top=top), SUBSETS), "subsets")
+    links = stored(_bucket_links(subsets.where("side < 3")), "subset-links")
+
+    sent = made.where(f"part = {SENT}").select(F.col("id").alias("token"), "cls").unionByName(subsets.where("side = 3").select("token", "cls"))
+    shared = sent.repartition("token").sortWithinPartitions("token", "cls").mapInPandas(_shared, "cls bigint")
+    matched = shared.withColumn("n", F.lit(1)).unionByName(made.where(f"part = {KNOWN}").select("cls", "n")).groupBy("cls").agg(F.sum("n").alias("matched"))
+    enough = F.col("matched") >= _few(_least_size(F.col("n"), measure.percent), measure.percent)
+    survivors = stored(classes.join(matched, "cls").where(enough).select("cls", "row"), "survivors")
+    kept = stored(docs.join(if_small(survivors), "row").select("cls", "text").mapInPandas(partial(_kept, measure=measure), KEPT), "kept")
+    if not kept.groupBy("cls").count().where("count > 1").isEmpty():  # repeated rows
+        kept = stored(kept.dropDuplicates(["cls"]), "kept-once")
+    entries = stored(_listed(kept, measure), "entries")
+
+    labels = None if links.isEmpty() else components(links)
     for turn in range(TURNS + 1):
-        marked = _marked(marked, labels)  # components only grow: a list of one component stays so
-        pairs = _to_hubs(marked, measure.percent, turn) if turn < TURNS else _crossing(marked, measure.percent)
-        more = stored(verified(stored(pairs, "pairs"), listed, names, measure), "more")
+        entries = _marked(entries, labels)  # components only grow: a list of one component stays so
+        pairs = _to_hubs(entries, measure.percent, turn) if turn < TURNS else _crossing(entries, measure.percent)
+        more = stored(verified(stored(pairs, "pairs"), kept, measure), "more")
         if not more.isEmpty():
-            labels = _joined(labels, more)
-    of_class = names.join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
-    least = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_class = stored(of_class.join(least, "label").select("cls", "component_id"), "components")
+            labels = components(more) if labels is None else _joined(labels, more)
+    of_class = classes.select("cls", "doc_id")
+    if labels is not None:
+        of_class = of_class.join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
+        least = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        of_class = of_class.join(least, "label").select("cls", "component_id")
+    else:
+        of_class = of_class.select("cls", F.col("doc_id").alias("component_id"))
+    of_class = stored(of_class, "components")
     linked = rows.where("n > 0 AND doc_id IS NOT NULL").join(of_class, "cls")
     alone = rows.where("n = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
     return linked.select("doc_id", "n", "component_id").union(alone.select("doc_id", "n", "component_id")).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
