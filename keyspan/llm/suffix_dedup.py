@@ -13,9 +13,15 @@ windows ``low..high`` that name it, about one in 170 places.
    longest match of each anchor either way, thus the outermost windows that can repeat; the neighbour often proves them.
 4. Contexts whose outermost windows no neighbour proves compare fingerprints of the windows between them.
 
+Neighbours of different texts also tell of shorter passages: what the two share around the anchor, if it has ``PASSAGE``
+words, is a passage that repeats across documents. Such a passage is found where both texts anchor the same gram of it; it
+is reported, never removed.
+
 Documents of equal bytes are one class: with ``LENGTH`` bytes or more, all of it goes. Bytes are UTF-8. All steps hold
 a run, a range or one document in memory; hot strings are front-coded, collapsed to one context, or split over ranges.
 
+A task combines equal grams and equal contexts before it sends them, so that a hot one sends a row a block of ``COMBINED``.
+
 Edge cases: null and empty texts have no bytes. Texts shorter than ``LENGTH`` are never cut. Rows with a null doc_id are
 searched and cut like others with ``nameless``, as the query does; without it they are kept whole and are no one's
 repetition. Rows that share a doc_id are documents of their own: a text is found by 64 bits
@@ -29,6 +35,7 @@ import hashlib
 import struct
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import partial
 from itertools import groupby
 
 import numpy as np
@@ -47,8 +54,10 @@ PIECE = 1 << 19
 #: Contexts of a sorted run, of a range, and in the sample that splitters are drawn from.
 RUN, RANGE, SPLITTER_SAMPLE = 40_000, 8_000, 4_000
 BLOCK_BYTES = 1 << 16
-#: Anchors that a task combines before they are sent.
+#: Anchors or contexts that a task combines before they are sent.
 COMBINED = 200_000
+#: Words of a passage that is reported.
+PASSAGE = 51
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.ones(1, np.uint64)
@@ -253,37 +262,81 @@ def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "row": frame["row"], "n_bytes": list(map(len, raw)), "cls": list(map(_class_of, raw)), "whole": [hashlib.sha256(r).hexdigest() for r in raw]})
 
 
-def _anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _combined(rows: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """known, rows: of rows that share their first ``keys`` columns, one that is not known and stands for them elsewhere,
+    then all of them as known, if they are several."""
+    rows = rows[np.lexsort(rows[:, :keys].T[::-1])]
+    start = np.concatenate([[True], (rows[1:, :keys] != rows[:-1, :keys]).any(axis=1)])
+    alone = start & np.concatenate([start[1:], [True]])
+    return np.repeat([False, True], [int(start.sum()), int((~alone).sum())]), np.concatenate([rows[start], rows[~alone]])
+
+
+def _anchors(most: int):
     """known: a gram that the task saw twice by itself. Of each gram a batch also has one row that is not known, which
     stands for it elsewhere, so that a gram of many places sends few rows to the task that compares it."""
-    seen: set[int] = set()
-    held: list[np.ndarray] = []
-
-    def combined() -> pd.DataFrame:
-        rows = np.concatenate(held)
-        held.clear()
-        rows = rows[np.argsort(rows[:, 0], kind="stable")]
-        start = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
-        alone = start & np.concatenate([start[1:], [True]])
-        out = np.concatenate([rows[start], rows[~alone]])
-        return pd.DataFrame({"known": np.repeat([False, True], [int(start.sum()), int((~alone).sum())]), "gram": out[:, 0], "cls": out[:, 1], "place": out[:, 2]})
-
-    size = 0
-    for frame in frames:
-        for text in frame["text"]:
-            raw = _bytes_of(text)
-            cls = _class_of(raw)
-            if len(raw) >= LENGTH and cls not in seen:
-                if len(seen) < 500_000:  # copies within a task are one class
-                    seen.add(cls)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+
+        def combined() -> pd.DataFrame:
+            known, out = _combined(np.concatenate(held), 1)
+            held.clear()
+            return pd.DataFrame({"known": known, "gram": out[:, 0], "cls": out[:, 1], "place": out[:, 2]})
+
+        size = 0
+        for frame in frames:
+            for text in frame["text"]:
+                raw = _bytes_of(text)
+                cls = _class_of(raw)
+                if len(raw) >= LENGTH and cls not in seen:
+                    if len(seen) < 500_000:  # copies within a task are one class
+                        seen.add(cls)
+                    a = anchors(raw)
+                    held.append(np.stack([a[:, 3], np.full(len(a), cls), a[:, 0]], axis=1))
+                    size += len(a)
+                    if size >= most:
+                        yield combined()
+                        size = 0
+        if held:
+            yield combined()
+
+    return run
+
+
+DIGESTS = "gram bigint, d1 bigint, d2 bigint, cls bigint, place bigint, low bigint, high bigint"
+
+
+def _digests(most: int):
+    """known and DIGESTS: the digest of each context asked for, equal ones of a task combined."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+
+        def combined() -> pd.DataFrame:
+            known, out = _combined(np.concatenate(held), 3)
+            held.clear()
+            return pd.DataFrame({"known": known} | {c.split()[0]: out[:, i] for i, c in enumerate(DIGESTS.split(", "))})
+
+        size = 0
+        for frame in frames:
+            for text, cls, places in frame[["text", "cls", "places"]].itertuples(index=False):
+                raw = _bytes_of(text)
+                if _class_of(raw) != cls:
+                    continue
                 a = anchors(raw)
-                held.append(np.stack([a[:, 3], np.full(len(a), cls), a[:, 0]], axis=1))
+                a = a[np.isin(a[:, 0], places)]
+                prints = [xxh3_128_digest(raw[low : high + LENGTH] + struct.pack("<H", place - low)) for place, low, high in a[:, :3].tolist()]
+                d = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
+                held.append(np.stack([a[:, 3], d[:, 0], d[:, 1], np.full(len(a), cls), a[:, 0], a[:, 1], a[:, 2]], axis=1))
                 size += len(a)
-                if size >= COMBINED:
+                if size >= most:
                     yield combined()
                     size = 0
-    if held:
-        yield combined()
+        if size:
+            yield combined()
+
+    return run
 
 
 def _contexts(columns: str, make):
@@ -308,17 +361,12 @@ def _contexts(columns: str, make):
     return run
 
 
-def _digest(raw: bytes, cls: int, place: int, low: int, high: int, gram: int) -> tuple:
-    d = xxh3_128_digest(raw[low : high + LENGTH] + struct.pack("<H", place - low))
-    return (gram, *struct.unpack("<qq", d), cls, place, low, high)
-
-
 def _context(raw: bytes, cls: int, place: int, low: int, high: int, gram: int) -> tuple:
     return cls, place, low, high, gram, raw[low:place][::-1], raw[place : high + LENGTH]
 
 
-def _runs(by: str, other: str, splitters: list[tuple[bytes, bytes]]):
-    """Sorted front-coded runs, cut at the splitters: (range, run, block, data)."""
+def _runs(by: str, other: str, splitters: list[tuple[bytes, bytes]], most: int):
+    """Sorted front-coded runs of ``most`` rows, cut at the splitters: (range, run, block, data)."""
     import uuid
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,7 +383,7 @@ def _runs(by: str, other: str, splitters: list[tuple[bytes, bytes]]):
         for frame in frames:
             for string, second, *numbers in frame[[by, other, *(c.split()[0] for c in NUMBERS.split(", "))]].itertuples(index=False):
                 held.append((bytes(string), bytes(second), tuple(numbers)))
-                if len(held) >= RUN:
+                if len(held) >= most:
                     yield flush()
         if held:
             yield flush()
@@ -343,26 +391,38 @@ def _runs(by: str, other: str, splitters: list[tuple[bytes, bytes]]):
     return run
 
 
-#: reach: the longest shared prefix with a neighbour; side: of those, the longest shared other string.
-#: edge: 0, or 1 and 2 for the first and last row of a range, which come with their strings.
-MERGED = f"part int, {NUMBERS}, reach int, side int, edge int, string binary, other binary"
+#: reach: the longest shared prefix with a neighbour; side: of those, the longest shared other string; p_reach, p_side: those
+#: of the longest passage shared with a neighbour. edge: 0, or 1 and 2 for the first and last row of a range, which come
+#: with their strings.
+MERGED = f"part int, {NUMBERS}, reach int, side int, p_reach int, p_side int, edge int, string binary, other binary"
+#: reach, side, p_reach and p_side of a row without neighbours.
+ALONE = (0, 0, 0, 0)
+
+
+def _neighbour(a: tuple, b: tuple, shared: int, backwards: bool) -> tuple[int, int, int, int]:
+    """reach, side, p_reach and p_side of two rows; ``backwards``: they are sorted by the bytes before the anchor."""
+    side = common_prefix(a[1], b[1], 0)
+    if shared + side < 2 * PASSAGE - 1 or a[2][0] == b[2][0]:
+        return shared, side, 0, 0
+    before, after = (a[0][:shared], a[1][:side]) if backwards else (a[1][:side], a[0][:shared])
+    long = len((before[::-1] + after).split()) >= PASSAGE
+    return (shared, side, shared, side) if long else (shared, side, 0, 0)
 
 
-def _neighbour(a: tuple, b: tuple, shared: int) -> tuple[int, int]:
-    """(reach, side) of two rows."""
-    return shared, common_prefix(a[1], b[1], 0)
+def _better(a: tuple, b: tuple) -> tuple:
+    return (*max(a[:2], b[:2]), *max(a[2:], b[2:], key=sum))
 
 
-def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _merged(frames: Iterator[pd.DataFrame], backwards: bool) -> Iterator[pd.DataFrame]:
     """Each range's runs merged; a range is bounded by its splitters and held as its blocks."""
     names = [c.split()[0] for c in MERGED.split(", ")]
 
     def merge(part: int, runs: list[list[bytes]]) -> Iterator[pd.DataFrame]:
-        out, before, best, first = [], None, (0, 0), True
+        out, before, best, first = [], None, ALONE, True
         for shared, *row in LoserTree([decoded(r) for r in runs]):
-            pair = (0, 0) if before is None else _neighbour(before, row, shared)
+            pair = ALONE if before is None else _neighbour(before, row, shared, backwards)
             if before is not None:
-                out.append((part, *before[2], *max(best, pair), 1 if first else 0, *((before[0], before[1]) if first else (None, None))))
+                out.append((part, *before[2], *_better(best, pair), 1 if first else 0, *((before[0], before[1]) if first else (None, None))))
                 first = False
             before, best = row, pair
             if len(out) >= 4096:
@@ -389,30 +449,30 @@ def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sorted_neighbours(contexts: DataFrame, by: str, other: str, rows: int) -> DataFrame:
-    """NUMBERS, reach and side of each context in the order of ``by``."""
-    spark = contexts.sparkSession
+    """NUMBERS, reach, side, p_reach and p_side of each context in the order of ``by``."""
+    spark, backwards, found = contexts.sparkSession, by == "before", ["reach", "side", "p_reach", "p_side"]
     ranges = max(1, rows // RANGE)
     share = min(1.0, SPLITTER_SAMPLE / max(rows, 1))
     drawn = contexts.where(F.pmod(F.xxhash64("cls", "place", "low"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else contexts
     sample = sorted((bytes(r[0]), bytes(r[1])) for r in drawn.select(by, other).collect())
     splitters = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if len(sample) >= ranges else sample
-    blocks = contexts.mapInPandas(_runs(by, other, splitters), "part int, run string, block int, data binary")
-    merged = blocks.repartition("part").sortWithinPartitions("part", "run", "block").mapInPandas(_merged, MERGED)
+    blocks = contexts.mapInPandas(_runs(by, other, splitters, RUN), "part int, run string, block int, data binary")
+    merged = blocks.repartition("part").sortWithinPartitions("part", "run", "block").mapInPandas(partial(_merged, backwards=backwards), MERGED)
     merged = stored(merged, f"merged-{by}")
     numbers = [c.split()[0] for c in NUMBERS.split(", ")]
     # the first and last row of each range meet their neighbours of other ranges here: two rows a range
-    edges = merged.where("edge > 0").orderBy("part", "edge").select(*numbers, "reach", "side", "string", "other").collect()
-    known: dict[tuple, tuple[int, int]] = {}
+    edges = merged.where("edge > 0").orderBy("part", "edge").select(*numbers, *found, "string", "other").collect()
+    known: dict[tuple, tuple] = {}
     for r in edges:
         key = tuple(r[c] for c in numbers)
-        known[key] = max(known.get(key, (0, 0)), (r["reach"], r["side"]))
+        known[key] = _better(known.get(key, ALONE), tuple(r[c] for c in found))
     for a, b in zip(edges, edges[1:], strict=False):
         x, y = tuple(a[c] for c in numbers), tuple(b[c] for c in numbers)
         if x != y:
-            left, right = (bytes(a["string"]), bytes(a["other"])), (bytes(b["string"]), bytes(b["other"]))
-            pair = _neighbour(left, right, common_prefix(left[0], right[0], 0))
-            known[x], known[y] = max(known[x], pair), max(known[y], pair)
-    inner = merged.where("edge = 0").select(*numbers, "reach", "side")
+            left, right = (bytes(a["string"]), bytes(a["other"]), x), (bytes(b["string"]), bytes(b["other"]), y)
+            pair = _neighbour(left, right, common_prefix(left[0], right[0], 0), backwards)
+            known[x], known[y] = _better(known[x], pair), _better(known[y], pair)
+    inner = merged.where("edge = 0").select(*numbers, *found)
     outer = spark.createDataFrame([(*k, *v) for k, v in known.items()], inner.schema)
     return inner.union(outer)
 
@@ -441,9 +501,9 @@ def _window_prints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeated_spans(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """cls, start and stop of spans of removed bytes, overlapping ones not joined, and the texts they may be in; ``names``:
-    cls and row of each class, and how many rows are the same."""
-    scanned = stored(docs.select("text").mapInPandas(_anchors, ANCHORS), "anchors")
+    """cls, start and stop of spans of removed bytes (``removed``) and of passages, overlapping ones not joined, and the texts
+    they may be in; ``names``: cls and row of each class, and how many rows are the same."""
+    scanned = stored(docs.select("text").mapInPandas(_anchors(COMBINED), ANCHORS), "anchors")
     places = "gram bigint, cls bigint, place bigint"
     lone = scanned.where("NOT known").select("gram", "cls", "place")
     met = lone.repartition("gram").sortWithinPartitions("gram", "cls", "place").mapInPandas(_repeated(1, places), places)
@@ -453,21 +513,24 @@ def repeated_spans(docs: DataFrame, names: DataFrame) -> DataFrame:
     if not names.where("same > 1").isEmpty():  # of rows that are the same, one goes on
         found = found.where("same = 1").unionByName(found.where("same > 1").dropDuplicates(["cls"]))
     suspects = stored(found.drop("same"), "suspects")
-    digests = "gram bigint, d1 bigint, d2 bigint, cls bigint, place bigint, low bigint, high bigint"
-    made = stored(suspects.mapInPandas(_contexts(digests, _digest), digests), "digests")
-    order = ["gram", "d1", "d2", "cls", "place", "low", "high"]
-    twice = made.repartition("gram", "d1").sortWithinPartitions(*order).mapInPandas(_repeated(3, digests), digests)
+    made = stored(suspects.mapInPandas(_digests(COMBINED), f"known boolean, {DIGESTS}"), "digests")
+    order = [c.split()[0] for c in DIGESTS.split(", ")]
+    lone = made.where("NOT known").select(*order)
+    twice = lone.repartition("gram", "d1").sortWithinPartitions(*order).mapInPandas(_repeated(3, DIGESTS), DIGESTS)
+    twice = twice.unionByName(made.where("known").select(*order))
     full = twice.select("cls", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("stop"))
     # a context that is one of several of its gram goes on, once
-    one = made.groupBy("gram", "d1", "d2").agg(F.min(F.struct("cls", "place", "low", "high")).alias("x")).select("gram", "d1", "d2", "x.*")
-    several = one.repartition("gram").sortWithinPartitions(*order).mapInPandas(_repeated(1, digests), digests)
+    one = lone.groupBy("gram", "d1", "d2").agg(F.min(F.struct("cls", "place", "low", "high")).alias("x")).select("gram", "d1", "d2", "x.*")
+    several = one.repartition("gram").sortWithinPartitions(*order).mapInPandas(_repeated(1, DIGESTS), DIGESTS)
     several = several.groupBy("cls").agg(F.collect_list("place").alias("places"), F.collect_list("low").alias("lows"))
     again = suspects.select("cls", "text").join(several, "cls")
     contexts = again.mapInPandas(_contexts(CONTEXTS, _context), CONTEXTS)
     contexts = stored(contexts.join(several.select("cls", F.explode(F.arrays_zip("places", "lows")).alias("z")).select("cls", F.col("z.places").alias("place"), F.col("z.lows").alias("low")), ["cls", "place", "low"], "left_semi"), "contexts")
     rows = contexts.count()
     plain = contexts.select(*(c.split()[0] for c in CONTEXTS.split(", ")))
-    bounds = stored(_bounds(_sorted_neighbours(plain, "after", "before", rows), _sorted_neighbours(plain, "before", "after", rows)), "bounds")
+    after, before = _sorted_neighbours(plain, "after", "before", rows), _sorted_neighbours(plain, "before", "after", rows)
+    passages = [x.where("p_reach + p_side > 0").select("cls", (F.col("place") - F.col(left)).alias("start"), (F.col("place") + F.col(right)).alias("stop")) for x, left, right in ((after, "p_side", "p_reach"), (before, "p_reach", "p_side"))]
+    bounds = stored(_bounds(after, before), "bounds")
     start, stop = F.col("place") - F.col("most"), F.col("place") - F.col("least") + LENGTH
     proven = bounds.where("proven").select("cls", start.alias("start"), stop.alias("stop"))
     open_grams = bounds.where("NOT proven").select("gram").distinct()
@@ -476,10 +539,12 @@ def repeated_spans(docs: DataFrame, names: DataFrame) -> DataFrame:
     same = prints.repartition("high_print").sortWithinPartitions("high_print", "low_print", "cls", "place", "low", "offset").mapInPandas(_repeated(2, WINDOWS), WINDOWS)
     same = same.where("NOT proven").groupBy("cls", "place", "low").agg(F.min("offset").alias("least"), F.max("offset").alias("most"))
     rest = same.select("cls", (F.col("place") - F.col("most")).alias("start"), (F.col("place") - F.col("least") + LENGTH).alias("stop"))
-    return stored(full.unionByName(proven).unionByName(rest).join(names.select("cls"), "cls", "left_semi"), "spans"), suspects
+    gone = full.unionByName(proven).unionByName(rest).withColumn("removed", F.lit(True))
+    spans = gone.unionByName(passages[0].unionByName(passages[1]).withColumn("removed", F.lit(False)))
+    return stored(spans.join(names.select("cls"), "cls", "left_semi"), "spans"), suspects
 
 
-CUT = "cls bigint, n_removed bigint, n_spans bigint, kept string, kept_sha256 string"
+CUT = "cls bigint, n_removed bigint, n_spans bigint, kept string, kept_sha256 string, n_passages bigint"
 
 
 def merged_spans(spans) -> list[tuple[int, int]]:
@@ -500,12 +565,13 @@ def _cut(with_text: bool):
                 raw, kept, at = _bytes_of(text), [], 0
                 if _class_of(raw) != cls:  # another text of the same row hash
                     continue
-                joined = merged_spans((s["start"], s["stop"]) for s in spans)
+                joined = merged_spans((s["start"], s["stop"]) for s in spans if s["removed"])
+                passages = merged_spans((s["start"], s["stop"]) for s in spans)
                 for a, b in joined:
                     kept.append(raw[at:a])
                     at = b
                 kept = b"".join([*kept, raw[at:]])
-                rows.append((cls, len(raw) - len(kept), len(joined), kept.decode("utf-8", "ignore") if with_text else None, hashlib.sha256(kept).hexdigest()))
+                rows.append((cls, len(raw) - len(kept), len(joined), kept.decode("utf-8", "ignore") if with_text else None, hashlib.sha256(kept).hexdigest(), len(passages)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CUT.split(", ")])
 
     return run
@@ -515,8 +581,9 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, nameless: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; ``with_text``: kept too, where something was cut (else null);
-    ``nameless``: rows with a null doc_id are documents too."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row, and n_passages: its runs of bytes that are removed or
+    in a passage of ``PASSAGE`` words that another text was found to have; ``with_text``: kept too, where something was cut
+    (else null); ``nameless``: rows with a null doc_id are documents too."""
     judged = F.lit(True) if nameless else F.col("doc_id").isNotNull()
     docs = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     rows = stored(docs.mapInPandas(_rows, ROWS), "rows")
@@ -525,16 +592,16 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_tex
     classes = stored(long.groupBy("cls").agg(least, F.sum("same").alias("copies")).select("cls", "least.*", "copies"), "classes")
     spans, suspects = repeated_spans(docs.where(judged), classes.select("cls", "row", "same"))
     single = classes.where("copies = 1").select("cls")
-    listed = spans.join(single, "cls", "left_semi").groupBy("cls").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    listed = spans.join(single, "cls", "left_semi").groupBy("cls").agg(F.collect_list(F.struct("start", "stop", "removed")).alias("spans"))
     cut = suspects.select("cls", "text").join(listed, "cls").mapInPandas(_cut(with_text), CUT)
     many = salted(classes.where("copies > 1").select("cls", F.lit(True).alias("copied")))
     marked = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(many, ["cls", "__salt"], "left").drop("__salt")
     copied = F.col("copied") & judged
     marked = marked.withColumn("copied", F.coalesce(copied, F.lit(False)))
-    gone = marked.where("copied").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(EMPTY).alias("kept_sha256"), F.lit("").alias("kept"))
+    gone = marked.where("copied").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(EMPTY).alias("kept_sha256"), F.lit("").alias("kept"), F.lit(1).cast("bigint").alias("n_passages"))
     own = F.when(judged & (F.col("n_bytes") >= LENGTH), F.col("cls"))
     rest = marked.where("NOT copied").withColumn("own", own).drop("cls").join(cut.withColumnRenamed("cls", "own"), "own", "left")
-    rest = rest.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("bigint")).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), "kept")
+    rest = rest.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("bigint")).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), "kept", F.coalesce("n_passages", F.lit(0).cast("bigint")).alias("n_passages"))
     out = gone.unionByName(rest)
     return out if with_text else out.drop("kept")
 
