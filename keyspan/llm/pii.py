@@ -1,8 +1,9 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.
 
 Base kinds: email, ip (parts at most 255), card (14 to 19 digits, Luhn) and phone (10 to 15 digits). The method adds
-iban (mod-97) and ssn (a US number of a valid range with a context word nearby). Each span has a score; base spans are
-always kept, added ones from ``LEAST_SCORE``. Offsets are code points, the end exclusive.
+iban (mod-97), ssn (a US number of a valid range), tel (a national phone number) and secret (a run of letters and digits
+whose entropy tells how much of a key it is). Each span has a score; base spans are always kept, added ones from
+``LEAST_SCORE``: an ssn, a tel or a secret takes a context word nearby. Offsets are code points, the end exclusive.
 
 Matching is linear in the text: expressions are possessive, and an email is sought from its ``@`` outwards.
 
@@ -12,8 +13,12 @@ Edge cases: a null text is empty and has no spans; repeated rows give equal resu
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pandas as pd
@@ -22,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import appended
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "tel", "secret")
 BASE = KINDS[:4]
+#: Kinds that give way to a span that is there already.
+WEAK = ("tel", "secret")
 LEAST_SCORE = 0.5
 #: Characters either side of a span in which context words count.
 NEAR = 48
@@ -34,6 +41,10 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+TEL = re.compile(r"(?<![0-9+-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{8,}+={0,2}")
+#: Bits (entropy of the characters times their number) from which a run has the full score of a secret.
+KEY_BITS = 80
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 CONTEXT = {
     "email": ("mail", "e-mail", "email", "contact"),
@@ -42,9 +53,11 @@ CONTEXT = {
     "phone": ("call", "phone", "tel", "mobile", "fax"),
     "iban": ("iban", "bank", "account", "konto", "cuenta", "compte"),
     "ssn": ("ssn", "social", "security"),
+    "tel": ("call", "phone", "tel", "mobile", "fax"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "access_key", "secret_key", "auth", "bearer", "credential", "credentials"),
 }
 #: Score without context and what a context word adds.
-SCORE = {"email": (0.8, 0.15), "ip": (0.6, 0.3), "card": (0.85, 0.1), "phone": (0.7, 0.2), "iban": (0.9, 0.05), "ssn": (0.3, 0.4)}
+SCORE = {"email": (0.8, 0.15), "ip": (0.6, 0.3), "card": (0.85, 0.1), "phone": (0.7, 0.2), "iban": (0.9, 0.05), "ssn": (0.3, 0.4), "tel": (0.35, 0.3), "secret": (0.0, 0.3)}
 WORDS = {kind: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, words)) + r")(?!\w)", re.IGNORECASE) for kind, words in CONTEXT.items()}
 
 
@@ -120,8 +133,27 @@ def ssns(text: str) -> Iterator[tuple[int, int]]:
         yield m.span()
 
 
-FINDERS = dict(zip(KINDS, (emails, ips, cards, phones, ibans, ssns), strict=True))
-DIGIT = re.compile("[0-9]")
+def tels(text: str) -> Iterator[tuple[int, int]]:
+    for m in TEL.finditer(text):
+        yield m.span()
+
+
+def strength(run: str) -> float:
+    """0 to 0.45 by the bits of the characters of ``run``; 0 unless it has letters and digits."""
+    if run.isalpha() or run.isdigit() or not (LETTER.search(run) and DIGIT.search(run)):
+        return 0.0
+    bits = -sum(n * math.log2(n / len(run)) for n in Counter(run).values())
+    return 0.45 * min(1.0, bits / KEY_BITS)
+
+
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    for m in SECRET.finditer(text):
+        if strength(m[0]):
+            yield m.span()
+
+
+FINDERS = dict(zip(KINDS, (emails, ips, cards, phones, ibans, ssns, tels, secrets), strict=True))
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 
 def find(text: str | None) -> list[Span]:
@@ -131,10 +163,14 @@ def find(text: str | None) -> list[Span]:
     found, digit = [], DIGIT.search(text)
     for order, kind in enumerate(KINDS):
         if (kind == "email" and "@" in text) or (kind == "phone" and "+" in text) or (kind not in ("email", "phone") and digit):
+            taken = sorted((s.start, s.end) for s in found) if kind in WEAK else []
+            starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
             for start, end in FINDERS[kind](text):
+                if (n := bisect_left(starts, end)) and ends[n - 1] > start:
+                    continue
                 plain, more = SCORE[kind]
                 near = WORDS[kind].search(text, max(0, start - NEAR), start) or WORDS[kind].search(text, end, min(len(text), end + NEAR))
-                score = plain + more * bool(near)
+                score = plain + more * bool(near) + (strength(text[start:end]) if near and kind == "secret" else 0.0)
                 if kind in BASE or score >= LEAST_SCORE:
                     found.append(Span(start, order, end, score))
     return sorted(found)
@@ -184,4 +220,4 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     counts = [count(k) for k in BASE]
-    return docs.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(line, ",").alias("spans"))
+    return docs.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(line, ",").alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
