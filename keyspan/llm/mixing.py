@@ -6,8 +6,8 @@ uniform value hashed from the seed and the document's id, so that it does not ch
 Documents are exploded by their count and dealt out at random. Only DataFrame functions are used.
 
 Edge cases: a null source is a source of its own; a source without a weight has the weight 0 when weights are given.
-Rows that share a doc_id draw the same number; rows of a null doc_id draw by their text. Empty and long texts are
-treated like others. An empty table gives an empty result. ``mix_copy`` and ``mix_key`` replace columns of these names.
+Rows that share a doc_id draw the same number, and are dealt out one by one; rows of a null doc_id draw by their text.
+Empty and long texts are treated like others. An empty table gives an empty result. ``mix_copy`` and ``mix_key`` replace columns of these names.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ SEED = "keyspan-mix-1"
 CHUNK = 256.0
 #: Sources of up to this many are broadcast with their tables (a row of at most about 5 KB).
 BROADCAST_SOURCES = 2_000
+#: Parts that the rows of one key are dealt to.
+DEAL = 64
 
 
 def uniform(seed: str, doc_id: Column, part: Column | int = 0) -> Column:
@@ -73,6 +75,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, source:
     docs = appended(docs, {"__src": F.coalesce(F.concat(F.lit("="), docs[source].cast("string")), F.lit("null"))})
     by_text = F.concat(F.lit("null:"), F.md5(docs[text].cast("string").cast("binary"))) if text in docs.columns else F.lit(None)
     docs = docs.withColumn("__id", F.coalesce(docs[doc_id].cast("string"), by_text, F.lit("null")))
+    # repeated rows have one key: the place in the input, the same when a task runs again, spreads them
+    docs = docs.withColumn("__place", F.monotonically_increasing_id())
     rate = rate.withColumn("__src", F.coalesce(F.concat(F.lit("="), F.col("__source").cast("string")), F.lit("null"))).drop("__source")
     if n_sources <= BROADCAST_SOURCES:
         with_rate = docs.join(F.broadcast(rate), "__src")
@@ -85,7 +89,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, source:
     out = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__count")))).drop("__count")
     digest = F.md5(F.concat_ws(":", F.lit(seed + "/order"), F.col("__id"), F.col("mix_copy").cast("string")))
     out = out.withColumn("mix_key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")).drop("__id")
-    return out.repartition("mix_key").sortWithinPartitions("mix_key") if shuffle else out
+    if shuffle:
+        out = out.withColumn("__deal", F.pmod(F.col("__place"), F.lit(DEAL))).repartition("mix_key", "__deal").sortWithinPartitions("mix_key").drop("__deal")
+    return out.drop("__place")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
