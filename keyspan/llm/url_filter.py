@@ -69,7 +69,7 @@ def rules_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     frame = spark.createDataFrame([(h, p, v) for (h, p), v in sorted(rows.items())], "r_host string, r_path string, r_verdict string")
     digest = F.sha2(F.concat_ws("\x00", "r_host", "r_path"), 256)
     return frame.select(
-        F.substring(digest, 1, SHORT).alias("short"),
+        F.substring(digest, 1, SHORT).alias("r_short"),
         digest.alias("r_digest"),
         F.concat("r_host", "r_path").alias("r_rule"),
         "r_verdict",
@@ -81,24 +81,25 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url", def
     spark = pages.sparkSession
     host, path = host_and_path(pages[url].cast("string"))
     base = appended(pages, {"host": host, "path": path}).drop("rule", "verdict")
-    base = base.withColumn("__row", F.monotonically_increasing_id())
     if not rules:
-        return appended(base.drop("__row"), {"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return appended(base, {"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    # helper columns stand beside one struct of all that is kept, so that no name of the input can clash
+    kept = base.columns
+    packed = base.select(F.struct(*[base[c] for c in kept]).alias("__kept"), F.monotonically_increasing_id().alias("__row"))
     lengths = sorted({len(r.path) for r in rules})
     labels = max(r.host.count(".") + 1 for r in rules)
     listed = rules_table(spark, rules)
     if len(rules) <= BROADCAST_RULES:
         listed = F.broadcast(listed)
-    made = base.withColumn("__e", F.explode_outer(expressions(F.col("host"), F.col("path"), lengths, labels)))
+    made = packed.withColumn("__e", F.explode_outer(expressions(F.col("__kept.host"), F.col("__kept.path"), lengths, labels)))
     digest = F.sha2(F.concat_ws("\x00", "__e.host", "__e.path"), 256)
-    made = made.withColumn("__digest", digest).drop("__e").withColumn("short", F.substring("__digest", 1, SHORT))
-    hits = made.join(listed, "short", "left")
+    made = made.withColumn("__digest", digest).drop("__e").withColumn("__short", F.substring("__digest", 1, SHORT))
+    hits = made.join(listed, F.col("__short") == F.col("r_short"), "left")
     sure = F.col("__digest") == F.col("r_digest")
     # the least of (negated length, text): the longest rule, of equal ones the first in text order
     best = F.min(F.when(sure, F.struct((-F.length("r_rule")).alias("n"), F.col("r_rule").alias("rule"), F.col("r_verdict").alias("verdict"))))
-    kept = [c for c in base.columns if c != "__row"]
-    out = hits.groupBy("__row").agg(*[F.first(c).alias(c) for c in kept], best.alias("__best"))
-    return out.select(*kept, F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    out = hits.groupBy("__row").agg(F.first("__kept").alias("__kept"), best.alias("__best"))
+    return out.select(*[F.col("__kept").getField(c).alias(c) for c in kept], F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
