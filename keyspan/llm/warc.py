@@ -3,13 +3,14 @@
 ``write_archives`` shuffles record headers by payload digest, makes every record but one of an equal payload a revisit
 of that one, and writes WARC/1.1 records with fresh headers. The text writer with the line separator CR LF CR LF ends
 each record as the format asks, so that archives are written through Spark's own commit protocol to any file system
-it knows. Archives are compressed with gzip. ``read_archives`` reads them, compressed or not, by Content-Length, never
+it knows. Archives are compressed with gzip, a member a file (that writer cannot start one a record, so a reader can't
+seek in them). Revisits name the record, address and date they refer to. ``read_archives`` reads them, compressed or not, by Content-Length, never
 by separators. ``resolve_revisits`` joins revisit
 records to the responses they refer to.
 
 Edge cases: a null payload is empty; a null url has no WARC-Target-URI; control characters in a url are percent-encoded.
 A record with a null id is always a response and is never referred to. Rows that repeat the id of the response are
-responses too. An empty table makes archives without records. Extra columns are not archived.
+responses too; of several urls of that id the last in text order is referred to. An empty table makes archives without records. Extra columns are not archived.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import salt_of, salted, scratch
+from .common import if_small, salt_of, salted, scratch, stored
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -48,33 +49,44 @@ def _uuid(*parts: Column) -> Column:
 
 
 def decide(pages: DataFrame, page_id: str, url: str, payload: str, least_bytes: int) -> DataFrame:
-    """page_id, url, payload, digest, bytes and refers_to: the response's id for a revisit, else null."""
+    """page_id, url, payload, digest, bytes, refers_to (the response's id for a revisit, else null) and its refers_url.
+
+    Only headers are shuffled by digest. What was decided comes back to the pages by id and digest, as a broadcast if a
+    count shows that the revisits are few."""
     body = F.coalesce(pages[payload].cast("string"), F.lit(""))
     base = pages.select(pages[page_id].cast("bigint").alias("page_id"), pages[url].cast("string").alias("url"), body.alias("payload"))
     base = base.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("bigint"))
-    heads = base.where(F.col("bytes") >= least_bytes).select("digest", "page_id")
-    groups = heads.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1 AND original IS NOT NULL").drop("n")
-    keyed = base.withColumn("__salt", salt_of("page_id", "url"))
-    joined = keyed.join(salted(groups), ["digest", "__salt"], "left")
-    revisit = (F.col("bytes") >= least_bytes) & (F.col("page_id") < F.col("original"))
-    return joined.select("page_id", "url", "payload", "digest", "bytes", F.when(revisit, F.col("original")).alias("refers_to"))
+    heads = stored(base.where((F.col("bytes") >= least_bytes) & F.col("page_id").isNotNull()).select("digest", "page_id", "url"), "heads")
+    groups = heads.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "response")
+    keyed = heads.select("digest", "page_id", salt_of("page_id"))
+    found = keyed.join(salted(groups), ["digest", "__salt"]).where("page_id < response.page_id")
+    found = found.select("digest", "page_id", F.col("response.page_id").alias("refers_to"), F.col("response.url").alias("refers_url")).distinct()
+    revisits = if_small(stored(found, "revisits"))
+    return base.join(revisits, ["digest", "page_id"], "left").select("page_id", "url", "payload", "digest", "bytes", "refers_to", "refers_url")
 
 
 def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = LEAST_BYTES) -> None:
     mean = pages.agg(F.avg(F.coalesce(F.octet_length(pages[payload].cast("string")), F.lit(0)))).first()[0] or 0
     per_file = max(1, int(FILE_BYTES / (mean + 600)))
     d = decide(pages, page_id, url, payload, least_bytes)
-    record_id = _uuid(F.lit("record"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.coalesce("url", F.lit("")), F.col("digest"))
+
+
+    def record_id(own_id: str, own_url: str) -> Column:
+        return _uuid(F.lit("record"), F.coalesce(F.col(own_id).cast("string"), F.lit("null")), F.coalesce(own_url, F.lit("")), F.col("digest"))
+
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     is_revisit = F.col("refers_to").isNotNull()
     block = F.when(is_revisit, http).otherwise(F.concat(http, F.col("payload")))
     record = F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.when(is_revisit, "revisit").otherwise("response"), F.lit(CRLF),
-        _header("WARC-Record-ID", record_id),
+        _header("WARC-Record-ID", record_id("page_id", "url")),
         _header("WARC-Date", F.lit(DATE)),
         _header("WARC-Target-URI", _clean(F.col("url"))),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(is_revisit, F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}")).otherwise(""),
+        _header("WARC-Refers-To", F.when(is_revisit, record_id("refers_to", "refers_url"))),
+        _header("WARC-Refers-To-Target-URI", F.when(is_revisit, _clean(F.col("refers_url")))),
+        _header("WARC-Refers-To-Date", F.when(is_revisit, F.lit(DATE))),
         _header("X-Page-Id", F.col("page_id")),
         _header("X-Refers-To-Page-Id", F.col("refers_to")),
         F.lit(f"Content-Type: application/http;msgtype=response{CRLF}"),
