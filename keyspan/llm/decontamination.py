@@ -5,8 +5,9 @@ item's five-word shingles to reach the similarity at all get a 64-bit SimHash of
 Hamming blocks (one more block than the radius) find every item fingerprint within the radius, and the exact weighted
 similarity of shingles (sum of least counts over sum of greatest) decides.
 
-The benchmark is gone through in blocks of ``BLOCK_WORDS`` words, each broadcast, so that its size is bounded; documents
-are read once a block and never shuffled.
+The benchmark is gone through in blocks of ``BLOCK_WORDS`` words. One block is broadcast at a time and dropped before the
+next, so that memory does not grow with the benchmark. Documents are read once a block; a benchmark of one block shuffles
+nothing, and of more only the leaks found are joined to the documents, by a digest of the text.
 
 Edge cases: null and empty texts have no leaks; an item of fewer than five words is one shingle of all of them, and an
 item without words matches nothing. A document shorter than an item is one window. Repeated rows give equal results;
@@ -21,6 +22,8 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, in_blocks
+from .common import appended, if_small, in_blocks, stored
 from .shingles import shingles, word_hashes
 
 WORD = re.compile(r"\w+")
@@ -177,11 +180,24 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", nameless: bo
     """``docs`` with the column leaks: the items a document holds, each with its best window; ``nameless``: items of null id too."""
     sc = docs.sparkSession.sparkContext
     items = (benchmark if nameless else benchmark.where(benchmark["item_id"].isNotNull())).select(benchmark["item_id"].cast("bigint").alias("item_id"), benchmark["text"].cast("string").alias("text"))
-    out = appended(docs, {"leaks": F.array().cast(LEAKS)})
-    for block in in_blocks(((r["item_id"], r["text"]) for r in items.toLocalIterator()), lambda r: 1 + len(r[1] or "") // 6, BLOCK_WORDS):
-        found = _seeker(sc.broadcast(Index(block, **options)))
-        out = out.withColumn("leaks", F.concat("leaks", found(out[text].cast("string"))))
-    return out
+    blocks = in_blocks(((r["item_id"], r["text"]) for r in items.toLocalIterator()), lambda r: 1 + len(r[1] or "") // 6, BLOCK_WORDS)
+    body = docs[text].cast("string")
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return appended(docs, {"leaks": _seeker(sc.broadcast(Index(first, **options)))(body)})
+    found = []
+    for block in chain([first, second], blocks):
+        shared = sc.broadcast(Index(block, **options))
+        hits = docs.select(F.md5(body.cast("binary")).alias("__text"), _seeker(shared)(body).alias("__leaks")).where(F.size("__leaks") > 0)
+        found.append(stored(hits.dropDuplicates(["__text"]).withColumn("__block", F.lit(len(found))), "leaks"))
+        shared.destroy()
+    # no more rows a text than blocks
+    rows = reduce(DataFrame.unionByName, found).groupBy("__text").agg(F.sort_array(F.collect_list(F.struct("__block", "__leaks"))).alias("__all"))
+    rows = rows.select("__text", F.flatten(F.transform("__all", lambda x: x["__leaks"])).alias("__leaks"))
+    kept = [c for c in docs.columns if c.lower() != "leaks"]
+    packed = docs.select(F.struct(*[docs[c] for c in kept]).alias("__kept"), F.md5(body.cast("binary")).alias("__text"))
+    joined = packed.join(if_small(stored(rows, "all-leaks")), "__text", "left")
+    return joined.select(*[F.col("__kept").getField(c).alias(c) for c in kept], F.coalesce("__leaks", F.array().cast(LEAKS)).alias("leaks"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
