@@ -5,8 +5,9 @@ score neighbours, and forward-backward gives each word's marginal. A document's
 mean marginal over all its words, which is also the score.
 
 The field is fitted on the driver to a bounded sample: ``SAMPLE_DOCS`` labelled documents a language, drawn by a hash
-of the id over all of them, ``SAMPLE_WORDS`` words of each, in runs spread over its whole text. Half of the training sequences are spliced from pieces of
-several documents, so that transitions between languages are learned.
+of the id over all of them (fewer if more than ``MOST_DOCS`` would come together), ``SAMPLE_WORDS`` words of each, in runs
+spread over its whole text; executors draw the words, so that the driver gets no whole text. Half of the training
+sequences are spliced from pieces of several documents, so that transitions between languages are learned.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; so is every text if nothing was labelled.
 Repeated rows are judged alike. Ties go to the language first in text order. Long texts are one chain. Runs of
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_blocks
+from .common import if_small, in_blocks
 
 WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
@@ -36,8 +37,10 @@ BUCKETS = 1 << 16
 SEEN = 24
 LEXICON = 300
 EPOCHS, RATE, DECAY = 40, 0.35, 1e-6
+#: Documents of the sample in all, however many languages there are.
+MOST_DOCS = 20_000
 #: Words scored together, and words whose scores are remembered by a worker.
-TOGETHER, REMEMBERED = 1_000_000, 400_000
+TOGETHER, REMEMBERED = 100_000, 40_000
 
 
 def words_of(text: str) -> list[str]:
@@ -282,15 +285,20 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 def train(docs: DataFrame, learn: Column, per_lang: int = SAMPLE_DOCS) -> Field | None:
     """A field from at most about ``per_lang`` documents a language of the rows where ``learn`` holds."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+
+    @F.pandas_udf("string")
+    def some_words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: " ".join(_drawn(words_of(t))))
+
+    rows = docs.where(learn).select("doc_id", docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = counts.count()
+    if not langs:
         return None
-    drawn = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    wanted = F.lit(False)
-    for lang, n in counts.items():
-        wanted = wanted | ((F.col("lang") == lang) & (drawn < per_lang / n))
-    return fit([(r["text"], r["lang"]) for r in rows.where(wanted).select("text", "lang").collect()])
+    share = F.lit(min(per_lang, max(1.0, MOST_DOCS / langs))) / F.col("n")
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    wanted = rows.join(if_small(counts.select(F.col("lang").alias("own"), share.alias("share"))), F.col("lang") == F.col("own")).where(drawn < F.col("share"))
+    return fit([(r["text"], r["lang"]) for r in wanted.select(some_words("text").alias("text"), "lang").collect()])
 
 
 def identify(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
