@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -65,6 +67,33 @@ def test_decontamination_is_the_brute_force(spark):
         assert {x["item_id"]: round(x["similarity"], 9) for x in index.leaks(" ".join(t))} == want
 
 
+def test_near_copies_are_within_the_radius():
+    """Recall of the fingerprints on edited copies against exact search over all windows."""
+    r = random.Random(21)
+    items = [[f"w{r.randrange(3000)}" for _ in range(r.choice([30, 60, 120]))] for _ in range(60)]
+    index = decontamination.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    exact = decontamination.Index([(i, " ".join(w)) for i, w in enumerate(items)], radius=64)
+    caught = there = 0
+    for n, w in enumerate(items * 10):
+        own = list(w)
+        for _ in range(r.randrange(1, 1 + len(own) // 40 + 1)):
+            own[r.randrange(len(own))] = "other"
+        t = " ".join([f"x{r.randrange(3000)}" for _ in range(40)] + own)
+        want, got = ({x["item_id"] for x in k.leaks(t)} for k in (exact, index))
+        there, caught = there + len(want), caught + len(got & want)
+    assert there > 200 and caught >= 0.97 * there
+
+
+def test_decontamination_by_blocks(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, passage(i, 30)) for i in range(12)], "item_id bigint, text string")
+    d = docs(spark, *[(i, f"{passage(90 + i, 20)} {passage(i, 30)} {passage(i + 1, 30)}") for i in range(11)], (50, None), (51, ""), (3, passage(3, 30)), (3, passage(3, 30)), (60, passage(70, 5000)))
+    d = d.withColumn("__text", F.lit("mine")).withColumn("Leaks", F.lit("taken"))
+    rows = lambda: sorted((r.doc_id, r["__text"], [x.item_id for x in r.leaks]) for r in decontamination.mark(d, bench).collect())
+    whole = rows()
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 100)
+    assert rows() == whole and [x for _, _, x in whole if x][:2] == [[0, 1], [1, 2]]
+
+
 def test_hamming_blocks_find_all():
     r = np.random.default_rng(1)
     prints = r.integers(0, 2**63, 50, dtype=np.uint64)
@@ -114,6 +143,41 @@ def test_jaccard_join_is_the_brute_force(spark):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_jaccard_join_on_near_copies_of_one_text(spark):
+    """A dense group: copies of one text with up to five edits, of which some link only through others."""
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(400)]
+    base, line = [r.choice(words) for _ in range(150)], [r.choice(words) for _ in range(25)]
+    rows = []
+    for i in range(160):
+        t = list(base)
+        for _ in range(i % 6):
+            t[r.randrange(len(t))] = r.choice(words)
+        rows.append((i, " ".join(t)))
+    rows += [(200 + i, " ".join([r.choice(words) for _ in range(60)] + line)) for i in range(40)]
+    rows += [(300 + i, " ".join(base[i : i + 12])) for i in range(3)] + [(400, " ".join(words * 30)), (401, " ".join(words * 30 + ["end"]))]
+    d = docs(spark, *rows).repartition(7)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(d, jaccard.Measure(4, 85)).collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
+def test_subsets_link_all_of_a_bucket(spark):
+    """Three sets of one size that each link with a larger one only."""
+    low, high = jaccard.Measure(1, 80), [f"h{i}" for i in range(12)]
+    rows = [(i, " ".join(high[:i] + high[i + 1 :][:10] + [f"x{i}"] * 0)) for i in range(5)] + [(9, " ".join(high))]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(docs(spark, *rows), low).collect()}
+    assert got == brute_components(rows, 1, 80)
+
+
+def test_shared_streams_tokens_over_batches():
+    import pandas as pd
+
+    rows = [(1, -1), (1, 5), (1, 5), (2, 7), (3, 4), (3, 4), (3, 6), (3, 8), (4, -1), (5, 1), (5, 2)]
+    for size in (1, 2, 3, 20):
+        frames = (pd.DataFrame(rows[a : a + size], columns=["token", "cls"]) for a in range(0, len(rows), size))
+        assert sorted(x for f in jaccard._shared(frames) for x in f["cls"]) == [1, 2, 4, 5, 6, 8]
+
+
 def test_jaccard_join_of_nothing_and_of_null_ids(spark):
     got = jaccard.join(docs(spark, (None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"))).collect()
     assert sorted(((x.doc_id, x.component_id) for x in got), key=str) == [(1, 1), (1, 1), (None, None)]
@@ -134,6 +198,12 @@ def test_mixing(spark):
     even = {r.source: r["count"] for r in mixing.mix(d.withColumn("mix_key", F.lit(1))).groupBy("source").count().collect()}
     assert all(abs(n - 350) < 110 for n in even.values()) and len(even) == 3
     assert mixing.mix(d.limit(0)).count() == 0
+    same = docs(spark, *[(7, "x", None, "a")] * 4000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    dealt = mixing.mix(same, total=12_000).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    whole = sum(r["count"] for r in dealt)
+    assert whole % 4000 == 0 and (not whole or max(r["count"] for r in dealt) < 0.5 * whole)
 
 
 def test_poisson_inversion(spark):
@@ -157,6 +227,11 @@ def test_warc_round_trip(spark, tmp_path):
     size, sha = len(long.encode()), hashlib.sha1(long.encode()).hexdigest()
     assert {x for x in got if x[3] == "revisit"} == {(1, size, sha, "revisit", 5), (2, size, sha, "revisit", 5)} and len(got) == len(rows)
     warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
+    heads = [h for f in spark.read.format("binaryFile").load(path).collect() for h, _ in warc.records(gzip.decompress(f.content))]
+    ids = {h[b"warc-record-id"]: h for h in heads}
+    revisits = [h for h in heads if h[b"warc-type"] == b"revisit"]
+    assert len(revisits) == 2 and {ids[h[b"warc-refers-to"]][b"x-page-id"] for h in revisits} == {b"5"}
+    assert {(h[b"warc-refers-to-target-uri"], h[b"warc-refers-to-date"]) for h in revisits} == {(b"u", warc.DATE.encode())}
 
 
 # --- 5
@@ -167,41 +242,67 @@ def test_url_filter(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("rule", F.lit("taken"))
     got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_filter.judge(pages).collect()}
     assert got == {0: ("a.example.org", "example.org/es/", "block"), 1: ("example.org", "example.org/en/1", "block"), 2: ("x.org", "org/", "allow"), 3: ("x.org", None, "allow"), 4: ("b.com", "com/fr/", "allow"), 5: ("b.com", "com/de/", "block"), 6: ("", None, "allow"), 7: ("", None, "allow"), 8: ("example.org.evil.net", None, "allow"), 9: ("com", "com/de/", "block")}
+    names = ["short", "r_short", "r_rule", "r_verdict", "r_digest", "__row", "__e", "__digest", "__short", "__best", "HOST"]
+    for name in names:
+        odd = url_filter.judge(pages.withColumn(name, F.lit("mine")).union(pages.withColumn(name, F.lit("mine"))))
+        assert {r.page_id: (r.rule, r.verdict) for r in odd.collect()} == {k: v[1:] for k, v in got.items()} and odd.count() == 2 * len(urls)
+        assert name == "HOST" or {r[name] for r in odd.collect()} == {"mine"}
     assert url_filter.judge(pages, ()).where("rule IS NULL").count() == len(urls) and url_filter.judge(pages.limit(0)).count() == 0
 
 
 # --- 6
 
 
+def slow(block):
+    value, index, out = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88), []
+    out.append(value)
+    for byte in block[4:]:
+        for code in (byte & 15, byte >> 4):
+            step = int(telephony.STEPS[index])
+            diff = (step >> 3) + (step >> 2) * (code & 1) + (step >> 1) * (code >> 1 & 1) + step * (code >> 2 & 1)
+            value = max(-32768, min(32767, value - diff if code & 8 else value + diff))
+            index = max(0, min(88, index + [-1, -1, -1, -1, 2, 4, 6, 8][code & 7]))
+            out.append(value)
+    return out
+
+
+def slow_feature(payload, rate):
+    """The feature of a payload, sample by sample."""
+    code = (telephony.MULAW, telephony.ALAW, telephony.IMA)[zlib.crc32(payload) % 3]
+    if code == telephony.IMA:
+        pcm = [x for a in range(0, len(payload), 192) for x in slow(payload[a : a + 192])]
+    else:
+        pcm = [int(telephony.TABLES[code][b]) for b in payload]
+    out = []
+    for i in range(len(pcm) * rate // 8000):
+        left, part = divmod(i * 8000, rate)
+        after = pcm[min(left + 1, len(pcm) - 1)]
+        out.append(pcm[left] + (after - pcm[left]) * part // rate)
+    turns = sum((a < 0) != (b < 0) for a, b in zip(out, out[1:], strict=False))
+    raw = b"".join(x.to_bytes(2, "little", signed=True) for x in out)
+    return f"{ {telephony.MULAW: 'ulaw', telephony.ALAW: 'alaw', telephony.IMA: 'ima'}[code] }:{len(out)}:{sum(map(abs, out))}:{max(map(abs, out))}:{turns}:{zlib.crc32(raw)}"
+
+
 def test_g711_tables_and_adpcm():
     assert telephony.TABLES[telephony.MULAW][[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0]
     assert telephony.TABLES[telephony.ALAW][[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
 
-    def slow(block):
-        value, index, out = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88), []
-        out.append(value)
-        for byte in block[4:]:
-            for code in (byte & 15, byte >> 4):
-                step = int(telephony.STEPS[index])
-                diff = (step >> 3) + (step >> 2) * (code & 1) + (step >> 1) * (code >> 1 & 1) + step * (code >> 2 & 1)
-                value = max(-32768, min(32767, value - diff if code & 8 else value + diff))
-                index = max(0, min(88, index + [-1, -1, -1, -1, 2, 4, 6, 8][code & 7]))
-                out.append(value)
-        return out
-
     raw = random.Random(3).randbytes(192 * 3 + 50)
     want = [x for a in range(0, len(raw), 192) for x in slow(raw[a : a + 192])]
     assert telephony.decode_ima(raw).tolist() == want
 
 
 def test_media(spark):
-    rows = [(1, "abc"), (2, ""), (3, None), (4, "é" * 5000), (4, "é" * 5000), (None, "x")]
-    d = docs(spark, *rows)
-    got = telephony.measure(telephony.text_media(d)).collect()
+    rows = [(1, "abc"), (2, ""), (3, None), (4, "é" * 5000), (4, "é" * 5000), (None, "x"), *[(10 + i, f"text {i} " * i) for i in range(30)]]
+    d = docs(spark, *rows).withColumn("pcm", F.lit("taken"))
+    got = telephony.measure(telephony.store_pcm(telephony.text_media(d), rate=2000)).collect()
+    assert {r.feature.split(":")[0] for r in got} == {"ulaw", "alaw", "ima"}
     for r, (i, t) in zip(got, rows, strict=True):
         raw = (t or "").encode()
         payload = raw + b" " * ((-len(raw)) % 192 or (192 if not raw else 0))
         assert (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) == (i, len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.feature) == (zlib.crc32(payload[-16:]), slow_feature(payload, 2000))
+    assert telephony.measure(telephony.store_pcm(telephony.text_media(d.limit(0)))).count() == 0
     wavs = [(1, telephony.encode_wav(b"\x00\x80" * 10)), (2, b"no wav"), (3, None), (4, telephony.encode_wav(b"\0" * 192, telephony.IMA)), (5, telephony.encode_wav(b"", telephony.ALAW))]
     media = spark.createDataFrame(wavs, "id bigint, media binary").withColumn("pcm", F.lit("taken"))
     stored = {r.id: (r.pcm_samples, r.error) for r in telephony.store_pcm(media).collect()}
@@ -232,6 +333,14 @@ def test_pii(spark):
     t = "Mail a.b@c-d.org, pay 4111 1111 1111 1111, IBAN GB82 WEST 1234 5698 7654 32, SSN: 078-05-1120, call +1 (555) 010-2030; host 10.0.0.255"
     assert [s.kind for s in pii.find(t)] == ["email", "card", "iban", "ssn", "phone", "ip"]
     assert pii.mask(t) == "Mail <EMAIL>, pay <CARD>, IBAN <IBAN>, SSN: <SSN>, call <PHONE>; host <IP>"
+    key = hashlib.sha1(b"x").hexdigest()
+    found = lambda x: [(s.kind, x[s.start : s.end]) for s in pii.find(x)]
+    assert found(f'set token = "{key}" here') == [("secret", key)] == found(f"{key} is the secret")
+    assert found(f"the commit {key} of a tree") == [] == found("token = aaaaaaaaaaaaaaaaaaaaa1, key 12345678 and password: hunter2")
+    assert found("call (555) 010-2030 or 555.010.2031") == [("tel", "(555) 010-2030"), ("tel", "555.010.2031")] and found("no. 555-010-2030") == []
+    # what a base span holds is no secret, and card numbers are none either
+    assert [k for k, _ in found("token x1y2z3w4v5u6t7s8r9@mail.example.org key 4111 1111 1111 1111")] == ["email", "card"]
+    assert pii.find("token " + "a1b2c3" * 50_000)[0].end == 300_006
     d = docs(spark, (1, t), (2, None), (3, ""), (4, "1" * 200_000 + "a" * 200_000), (1, t)).withColumn("spans", F.lit("taken"))
     assert sorted(len(r.spans) for r in pii.detect(d).collect()) == [0, 0, 0, 6, 6]
     assert {r.doc_id: r.text for r in pii.redact(d).collect()}[2] is None and pii.detect(d.limit(0)).count() == 0
@@ -300,6 +409,29 @@ def test_suffix_dedup_is_the_brute_force(spark, monkeypatch):
     assert got == dict(zip([i for i, _ in rows], brute_spans([t for _, t in rows]), strict=True))
 
 
+def test_suffix_dedup_reports_passages(spark):
+    r = random.Random(16)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    shared, short = text(55), text(30)
+    rows = [(i, f"{text(120)} {shared} {text(80)}") for i in range(12)] + [(20 + i, f"{text(120)} {short} {text(80)}") for i in range(12)] + [(40, text(300)), (41, None), (42, text(4000))]
+    got = {x.doc_id: (x.n_removed, x.n_passages) for x in suffix_dedup.remove(docs(spark, *rows)).collect()}
+    assert {x[0] for x in got.values()} == {0} and all(got[i][1] == 0 for i in got if i >= 20)
+    assert sum(got[i][1] > 0 for i in range(12)) >= 10
+
+
+@pytest.mark.parametrize("parts", [1, 16])
+def test_suffix_dedup_of_hot_contexts(spark, monkeypatch, parts):
+    monkeypatch.setattr(suffix_dedup, "RANGE", 5)
+    monkeypatch.setattr(suffix_dedup, "RUN", 7)
+    monkeypatch.setattr(suffix_dedup, "COMBINED", 30)
+    r = random.Random(17)
+    junk = lambda n: "".join(r.choice("abcdefgé ") for _ in range(n))
+    line, shared = "a line of words\n" * 100, [junk(700), junk(900)]
+    texts = [line * r.randrange(1, 4) + junk(r.randrange(500)) + r.choice(shared)[r.randrange(9) :] for _ in range(30)] + [junk(30_000), line, line]
+    got = Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove(docs(spark, *enumerate(texts)).repartition(parts)).collect())
+    assert got == Counter((i, *x) for i, x in enumerate(brute_spans(texts)))
+
+
 def test_loser_tree_merges_and_knows_prefixes():
     r = random.Random(6)
     make = lambda: (bytes(r.choice(b"ab") for _ in range(r.randrange(12))), b"", (r.randrange(9), 0, 0, 0, 0))
