@@ -17,12 +17,12 @@ def _(t):
 
 @query("t02_recall", "SELECT doc_id FROM documents WHERE contains(text, 'tio') AND contains(text, 'ion') AND contains(text, 'onh')")
 def _(t):
-    return text.recall(text.postings(t.documents, "doc_id", "text", 3), "doc_id", text.query_grams("tionh", 3)[:3])
+    return text.matching(t.documents, "doc_id", "text", text.query_grams("tionh", 3), 3)
 
 
 @query("t02b_recall_any", "SELECT doc_id FROM documents WHERE contains(text, 'zzu') OR contains(text, 'ñga')")
 def _(t):
-    return text.recall(text.postings(t.documents, "doc_id", "text", 3), "doc_id", ["zzu", "ñga"], every=False)
+    return text.matching(t.documents, "doc_id", "text", ["zzu", "ñga"], 3, every=False)
 
 
 @query(
