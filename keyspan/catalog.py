@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import folds, graphs, reads, searches, tables  # noqa: F401  (they register their queries)
+from .plans import folds, graphs, reads, searches, tables, writes  # noqa: F401  (they register their queries)
 from .plans.registry import QUERIES, SQL, Query, Tables
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .documents import merge_cells
 from .graph import EDGE, cut_of
 
 SET = ["kind", "id"]
@@ -149,6 +150,14 @@ class Store:
             nm = nm.unionByName(f.node_members.select(*nm.columns)).distinct()
         return Store(nodes, edges, clusters, em, nm), report
 
+    def incorporate_open(self, declared: DataFrame, open_column: str = "open") -> tuple[Store, dict]:
+        """Clusters (kind, id, JSON text of open names, and a parent if they have one) merged into those of their name, map
+        by map; a new one has what it declares."""
+        d = declared.select(*SET, F.col(open_column).alias("__open"), (F.col("parent") if "parent" in declared.columns else F.lit(None)).cast("bigint").alias("__parent"), F.lit(True).alias("__new"))
+        both = self.clusters.withColumn("__there", F.lit(True)).join(d, SET, "full")
+        out = both.select(*[{open_column: merge_cells(F.array(open_column, "__open")).alias(open_column), "parent": F.coalesce("__parent", "parent", F.lit(0)).cast("bigint").alias("parent")}.get(c, F.col(c)) for c in self.clusters.columns])
+        return replace(self, clusters=out), {"clusters": both.where("__there IS NULL").count()}
+
     def retract(self, f: Fragment) -> tuple[Store, dict]:
         """Deletes nodes with their edges and memberships, and edges without their ends. Clusters keep their rows."""
         edges, nodes, em, nm = self.edges, self.nodes, self.edge_members, self.node_members

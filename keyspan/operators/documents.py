@@ -111,3 +111,28 @@ def put_with_children(parents: DataFrame, children: DataFrame, new: DataFrame, k
     kept = children.join(released, child_key, "left_anti").join(written.select(child_key), child_key, "left_anti")
     held = new.withColumn(refs, F.transform(embedded, lambda c: c[child_key])).drop(embedded)
     return put(parents, held.select(*parents.columns), key), kept.unionByName(written.select(*children.columns))
+
+
+# --- whole documents as JSON text
+
+
+def split(rows: DataFrame, key: Sequence[str], declared: dict[str, str], document: str = "document", open_column: str = "open") -> DataFrame:
+    """Documents (key, JSON text of one object) as their two halves: fields of the ``declared`` types, null where absent, and
+    the other names as JSON text, null if there are none. A declared field of another type is refused."""
+    whole = F.from_json(F.col(document), "map<string,variant>")
+    out: list[Column] = [F.col(k) for k in key]
+    for name, kind in declared.items():
+        value = F.element_at("__map", F.lit(name))
+        typed = F.try_variant_get(value, "$", kind)
+        wrong = value.isNotNull() & ~F.is_variant_null(value) & typed.isNull()
+        out.append(F.when(wrong, F.raise_error(F.lit(f"{name} is not {kind}")).cast(kind)).otherwise(typed).alias(name))
+    rest = F.map_filter("__map", lambda k, _: ~k.isin(*declared))
+    out.append(F.when(F.size(rest) > 0, F.to_json(rest)).alias(open_column))
+    return rows.select(*key, whole.alias("__map")).select(*out)
+
+
+def compose(rows: DataFrame, key: Sequence[str], document: str = "document", open_column: str = "open") -> DataFrame:
+    """The halves as one document again: declared fields that are not null, then the open names, in the order of names."""
+    names = _declared(rows, key, open_column)
+    own = F.to_json(F.struct(*names)) if names else F.lit("{}")
+    return rows.select(*key, merge_cells(F.array(own, open_column)).alias(document))

@@ -163,11 +163,10 @@ def pagerank(nodes: DataFrame, neighbors: DataFrame, iterations: int, damping: f
     degree = neighbors.groupBy("node").agg(F.count("*").alias("degree"))
     nodes = stored(nodes.join(degree, "node", "left"), "nodes")
     ranks = nodes.select("node", "degree", F.lit(1.0 / n).alias("rank"))
-    for i in range(iterations):
+    for _ in range(iterations):
         lost = ranks.where("degree IS NULL").agg(F.sum("rank")).first()[0] or 0.0
         base = (1 - damping) / n + damping * lost / n
         flow = neighbors.join(ranks.where("degree IS NOT NULL").select("node", (F.col("rank") / F.col("degree")).alias("part")), "node").groupBy(F.col("neighbor").alias("node")).agg(F.sum("part").alias("got"))
         ranks = nodes.join(flow, "node", "left").select("node", "degree", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if i % 4 == 3 or i + 1 == iterations:
-            ranks = stored(ranks, "ranks")
+        ranks = stored(ranks, "ranks")  # the next round reads it twice
     return ranks.select("node", "rank")

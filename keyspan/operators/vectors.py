@@ -10,13 +10,14 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, LongType
 from pyspark.sql.window import Window
 
 from ..functions.scalars import bucket_id, dist2
 from ..session import if_small, scratch
+from ..sources.files import Files
 
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
@@ -27,7 +28,11 @@ def fnv1a(raw: bytes) -> int:
 
 @F.pandas_udf(IntegerType())
 def _shard(keys: pd.Series, shards: pd.Series) -> pd.Series:
-    return pd.Series([fnv1a(int(k).to_bytes(8, "big", signed=True)) % n for k, n in zip(keys, shards, strict=True)], dtype="int32")
+    raw = keys.to_numpy(np.int64).view(np.uint64)
+    h = np.full(len(raw), FNV_OFFSET, np.uint64)
+    for shift in range(56, -1, -8):
+        h = (h ^ ((raw >> np.uint64(shift)) & np.uint64(255))) * np.uint64(FNV_PRIME)
+    return pd.Series((h % shards.to_numpy(np.uint64)).astype(np.int32))
 
 
 def shard_of(key: Column, shards: int) -> Column:
@@ -35,6 +40,16 @@ def shard_of(key: Column, shards: int) -> Column:
     return _shard(key.cast("bigint"), F.lit(shards))
 
 
+@F.pandas_udf(LongType())
+def _splitmix(seeds: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([SplitMix64(int(s)).next() % n for s, n in zip(seeds, most, strict=True)], dtype="int64")
+
+
+def splitmix64(seed: Column, most: int) -> Column:
+    """The first number below ``most`` that a generator of this seed draws."""
+    return _splitmix(seed.cast("bigint"), F.lit(most).cast("bigint"))
+
+
 class SplitMix64:
     """A seeded generator of 64-bit numbers."""
 
@@ -211,10 +226,11 @@ def nearest_pq(vectors: DataFrame, key: str, vector: str, query: Sequence[float]
 
 
 class NavigableGraph:
-    """A hierarchical navigable small-world index of one shard."""
+    """A hierarchical navigable small-world index of one shard. ``codec``: nodes hold vectors as they are (None), what is left
+    of them in 8 bits a place ("i8"), or the centroids of a quantiser; distances are those of what is held."""
 
-    def __init__(self, m: int = 16, m0: int = 32, breadth: int = 100, seed: int = 42) -> None:
-        self.m, self.m0, self.breadth, self.rng = m, m0, breadth, SplitMix64(seed)
+    def __init__(self, m: int = 16, m0: int = 32, breadth: int = 100, seed: int = 42, codec: str | ProductQuantizer | None = None) -> None:
+        self.m, self.m0, self.breadth, self.rng, self.codec = m, m0, breadth, SplitMix64(seed), codec
         self.vectors: list[np.ndarray] = []
         self.keys: list[int] = []
         self.links: list[dict[int, list[int]]] = []
@@ -249,10 +265,20 @@ class NavigableGraph:
                         heapq.heappop(kept)
         return sorted((-a, -b) for a, b in kept)
 
+    def _held(self, vector: Sequence[float]) -> np.ndarray:
+        v = np.asarray(vector, np.float32)
+        if self.codec is None:
+            return v
+        if isinstance(self.codec, ProductQuantizer):
+            code = self.codec.encode(v[None])[0]
+            return self.codec.centroids[np.arange(len(code)), code].reshape(-1)
+        top = np.abs(v).max(initial=0.0)
+        return np.round(v * (127 / top)).astype(np.float32) * (top / 127) if top else v
+
     def insert(self, key: int, vector: Sequence[float]) -> None:
         if key in self.place:
             self.remove(key)
-        q, i = np.asarray(vector, np.float32), len(self.vectors)
+        q, i = self._held(vector), len(self.vectors)
         level = int(-np.log(max(self.rng.unit(), 1e-12)) / np.log(self.m))
         self.vectors.append(q)
         self.keys.append(key)
@@ -323,6 +349,25 @@ def search_shards(graphs: DataFrame, query: Sequence[float], k: int, breadth: in
     return graphs.mapInPandas(run, "key bigint, distance float").orderBy("distance", "key").limit(k)
 
 
+def save_shards(graphs: DataFrame, path: str) -> None:
+    """The graphs as a snapshot, a row a shard; a reader sees all of a finished one or none."""
+    graphs.write.mode("overwrite").parquet(path)
+
+
+def load_shards(spark: SparkSession, path: str, shards: int | None = None) -> DataFrame | None:
+    """A snapshot; None if there is none, or if it has not as many shards as asked for."""
+    files = Files(spark, path)
+    if not files.exists("_SUCCESS"):
+        return None
+    graphs = spark.read.schema("shard int, graph binary").parquet(path)
+    return graphs if shards is None or graphs.count() == shards else None
+
+
+def wipe_shards(spark: SparkSession, path: str) -> bool:
+    """Deletes a snapshot; whether there was one."""
+    return Files(spark, path).delete("")
+
+
 # --- buckets and filters
 
 

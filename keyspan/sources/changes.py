@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..operators.documents import merge_cells
-from ..session import stored
+from ..session import if_small, stored
 
 OP, SLOT, SEQ, CELL = "ks_op", "ks_slot", "ks_seq", "cell"
 
@@ -86,14 +87,10 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """Dense numbers from 0 in ``order`` without one task for all rows: sorted ranges, then each range's count before it."""
     ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
     ranged = stored(ranged, "numbered")
-    counts = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}
-    total, base = 0, {}
-    for p in sorted(counts):
-        base[p], total = total, total + counts[p]
-    if not base:
-        return ranged.drop("__p", "__i").withColumn(name, F.lit(0).cast("bigint"))
-    bases = F.create_map(*[x for p, b in base.items() for x in (F.lit(p), F.lit(b))])
-    return ranged.withColumn(name, (F.element_at(bases, F.col("__p")) + F.col("__i")).cast("bigint")).drop("__p", "__i")
+    # a row a range
+    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("__p").count().select("__p", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("__base"))
+    return ranged.join(F.broadcast(bases), "__p").withColumn(name, (F.col("__base") + F.col("__i")).cast("bigint")).drop("__p", "__i", "__base")
 
 
 def project_window(ops: DataFrame, key: Sequence[str], order: Sequence[str] = (SEQ,)) -> tuple[DataFrame, DataFrame]:
@@ -105,6 +102,41 @@ def project_window(ops: DataFrame, key: Sequence[str], order: Sequence[str] = (S
     return rows, derived
 
 
+def captured(old: DataFrame, new: DataFrame, key: Sequence[str], touched: DataFrame | None = None, open_column: str = "open", first_seq: int = 0) -> DataFrame:
+    """What a write did, as change rows numbered from ``first_seq`` in the order of keys: a put of each document that is new
+    or changed, a delete of each that is gone, nothing for one written as it was. ``touched``: the keys that were written,
+    without which whole tables are compared.
+
+    An open half that changed is ended and written anew, so that names which are gone do not come back by a merge."""
+    if touched is not None:
+        asked = if_small(touched.select(*key).distinct())
+        old, new = old.join(asked, list(key), "left_semi"), new.join(asked, list(key), "left_semi")
+    declared = [c for c in old.columns if c not in key and c != open_column]
+    has_open = open_column in old.columns
+
+    def half(df: DataFrame, name: str) -> DataFrame:
+        cell = F.col(open_column) if has_open else F.lit(None).cast("string")
+        return df.select(*key, F.struct(*[F.col(c).alias(c) for c in declared], cell.alias(CELL)).alias(name))
+
+    both = half(old, "__a").join(half(new, "__b"), list(key), "full")
+    same = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    for c in [*declared, CELL]:
+        same = same & F.col("__a")[c].eqNullSafe(F.col("__b")[c])
+    there, gone = F.col("__a").isNotNull(), F.col("__b").isNull()
+    moved = ~F.col(f"__a.{CELL}").eqNullSafe(F.col(f"__b.{CELL}"))
+
+    def change(place: int, op: str, slot: int | None, full: bool) -> Column:
+        values = [(F.col("__b")[c] if full else F.lit(None).cast(old.schema[c].dataType)).alias(c) for c in declared]
+        cell = F.when(moved, F.col(f"__b.{CELL}")) if full else F.lit(None).cast("string")
+        return F.struct(F.lit(place).alias("__place"), *values, F.lit(op).alias(OP), F.lit(slot).cast("int").alias(SLOT), cell.alias(CELL))
+
+    ended = there & F.col(f"__a.{CELL}").isNotNull() & moved
+    rows = F.when(gone, F.array(change(0, "del", None, False))).otherwise(F.filter(F.array(F.when(ended, change(0, "del", 1, False)), change(1, "put", None, True)), lambda c: c.isNotNull()))
+    out = both.where(~same).select(*key, F.explode(rows).alias("__c")).select(*key, "__c.*")
+    out = numbered(out.withColumn("__order", F.struct(*key, "__place")), "__order", SEQ)
+    return out.select(*key, *declared, OP, SLOT, (F.col(SEQ) + first_seq).alias(SEQ), CELL)
+
+
 def reconcile(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """What makes ``new`` equal to ``old``: each key as adopted (only or differently in old), removed or unchanged."""
     rest = [c for c in old.columns if c not in key]

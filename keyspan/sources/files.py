@@ -25,6 +25,10 @@ class Files:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
+    def qualified(self) -> str:
+        """The folder as paths of its files begin."""
+        return self._fs.makeQualified(self._path("")).toString()
+
     def exists(self, name: str = "") -> bool:
         return self._fs.exists(self._path(name))
 
