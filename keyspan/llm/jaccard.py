@@ -52,7 +52,7 @@ MOST_BOUNDARY = 40
 #: Cost of scanning and verifying one list entry, in enumerated subsets.
 LIST_COST = 4.0
 #: Shingles that a task looks at together for ones that several of its classes have.
-COMBINED = 1 << 20
+COMBINED = 1 << 18
 #: Members verified by one task's stream against one partner.
 GROUP = 500
 ROUNDS = 60
