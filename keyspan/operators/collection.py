@@ -1,7 +1,8 @@
 """Collections and their faces: declared views of rows, scanned by prefix, exactly or by range.
 
 A face is logical: filter, derive, select. Catalyst pushes its predicates and columns into the file scan, so every scan
-reads what its parts name and nothing else. Results come in the face's order unless ``ordered`` is False.
+reads what its parts name and nothing else. Results come in the face's order if ``ordered``, which is a sort of all of them,
+and where a page (``take``, ``skip``) or ``reverse`` asks for it.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ class Collection:
         sort = list(dict.fromkeys([*f.fields, *tail]))
         if f.key:  # entries of one key are one entry
             rows = rows.select(*dict.fromkeys([*sort, *wanted])).distinct()
-        if not ordered:
+        if not (ordered or reverse or skip or take is not None):
             return rows.select(*wanted)
         return _page(rows, sort, f.reverse, reverse, take, skip).select(*wanted)
 
@@ -160,16 +161,16 @@ class Collection:
             rows = rows.where(F.col(name).startswith(value) if last_text else F.col(name) == F.lit(value))
         return rows
 
-    def scan(self, face: str | Face, *probe, parts: Sequence[str] = (FIELDS, KEY, ROW), ordered: bool = True, reverse: bool = False, take: int | None = None, skip: int = 0) -> DataFrame:
+    def scan(self, face: str | Face, *probe, parts: Sequence[str] = (FIELDS, KEY, ROW), ordered: bool = False, reverse: bool = False, take: int | None = None, skip: int = 0) -> DataFrame:
         """Entries whose leading fields equal the probe; text for the last field is a prefix of it."""
         f = self.faces[face] if isinstance(face, str) else face
         return self._entries(f, self._probed(f, probe, False), parts, ordered, reverse, take, skip)
 
-    def exact(self, face: str | Face, *probe, parts: Sequence[str] = (FIELDS, KEY, ROW), ordered: bool = True) -> DataFrame:
+    def exact(self, face: str | Face, *probe, parts: Sequence[str] = (FIELDS, KEY, ROW), ordered: bool = False) -> DataFrame:
         f = self.faces[face] if isinstance(face, str) else face
         return self._entries(f, self._probed(f, probe, True), parts, ordered, False, None, 0)
 
-    def range(self, face: str | Face, low=None, high=None, parts: Sequence[str] = (FIELDS, KEY, ROW), ordered: bool = True) -> DataFrame:
+    def range(self, face: str | Face, low=None, high=None, parts: Sequence[str] = (FIELDS, KEY, ROW), ordered: bool = False) -> DataFrame:
         """Entries whose first field is in [low, high)."""
         f = self.faces[face] if isinstance(face, str) else face
         rows = self.face(f)
@@ -183,7 +184,7 @@ class Collection:
         f = self.faces[face] if isinstance(face, str) else face
         return self._probed(f, probe, False).agg(F.count("*").alias("entries"))
 
-    def covered(self, face: str | Face, *probe, ordered: bool = True) -> DataFrame:
+    def covered(self, face: str | Face, *probe, ordered: bool = False) -> DataFrame:
         return self.scan(face, *probe, parts=(FIELDS, KEY, INCLUDE), ordered=ordered)
 
     def entry_keys(self, face: str | Face, *probe) -> KeySet:

@@ -80,10 +80,15 @@ class Graph:
 
     def walk(self, heads: DataFrame, predicates: Sequence[str] | None = None, inward: bool = False) -> DataFrame:
         """One hop from ``heads`` (ns, id): a row for each edge met, so that paths keep their multiplicity."""
-        near, far = (("dst_ns", "dst"), ("src_ns", "src")) if inward else (("src_ns", "src"), ("dst_ns", "dst"))
+        far = ("src_ns", "src") if inward else ("dst_ns", "dst")
+        return self.hop(heads, predicates, inward).select(F.col(far[0]).alias("ns"), F.col(far[1]).alias("id"))
+
+    def hop(self, heads: DataFrame, predicates: Sequence[str] | None = None, inward: bool = False) -> DataFrame:
+        """The edges met by one hop from ``heads`` (ns, id)."""
+        near = ("dst_ns", "dst") if inward else ("src_ns", "src")
         edges = self.edges if predicates is None else self.edges.where(F.col("predicate").isin(*predicates))
         met = heads.select("ns", "id").join(edges, (F.col("ns") == F.col(near[0])) & (F.col("id") == F.col(near[1])))
-        return met.select(F.col(far[0]).alias("ns"), F.col(far[1]).alias("id"))
+        return met.select(*edges.columns)
 
     def _steps(self, predicates: Sequence[str] | None, both_ways: bool) -> DataFrame:
         edges = self.edges if predicates is None else self.edges.where(F.col("predicate").isin(*predicates))

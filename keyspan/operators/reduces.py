@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -105,6 +106,42 @@ def rollup_levels(rows: DataFrame, levels: Sequence[str], aggregates: Sequence[C
     return rows.rollup(*levels).agg(*aggregates, level.alias("level")).where("level > 0")
 
 
+def merged_reduce(rows: DataFrame, group: Sequence[str], seed: Callable, fold: Callable, merge: Callable, schema: str) -> DataFrame:
+    """A host fold that can be cut: ``fold(acc, row)`` over the rows of a group that a task has, then ``merge(acc, acc)`` of
+    what tasks have made, in no set order. A hot group sends an accumulator (a tuple as ``schema`` says) a task, and tasks
+    hold ``FOLDED`` groups."""
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*group).schema)
+    place = [rows.columns.index(g) for g in group]
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple] = {}
+
+        def out() -> pd.DataFrame:
+            made = pd.DataFrame([(*k, *acc) for k, acc in held.items()], columns=[*group, *names])
+            held.clear()
+            return made
+
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                key = tuple(row[i] for i in place)
+                held[key] = fold(held[key] if key in held else seed(), row)
+                if len(held) >= FOLDED:
+                    yield out()
+        if held:
+            yield out()
+
+    def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        parts = frame[names].itertuples(index=False, name=None)
+        return pd.DataFrame([(*key, *reduce(merge, parts))], columns=[*group, *names])
+
+    return rows.mapInPandas(partial, f"{kinds}, {schema}").groupBy(*group).applyInPandas(whole, f"{kinds}, {schema}")
+
+
+#: Groups whose accumulators a task holds before it sends them.
+FOLDED = 100_000
+
+
 def user_reduce(rows: DataFrame, group: Sequence[str], fold: Callable, seed: Callable, schema: str, order: Sequence[str] = ()) -> DataFrame:
     """A host fold: ``seed()`` then ``fold(acc, row)`` over a group's rows, in ``order``; the result is the accumulator."""
     names = [c.strip().split()[0] for c in schema.split(",")]

@@ -33,7 +33,9 @@ def _(t):
 
 @query("a01b_ordered_fold", "SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY o_custkey")
 def _(t):
-    return reduces.reduced(t.orders, ["o_custkey"], [Reduce("n", "count"), Reduce("total", "sum", "o_orderkey")])
+    made = [F.count("*").alias("n"), F.sum("o_orderkey").alias("total")]
+    rows = t.orders.select("o_custkey", "o_orderkey", F.col("o_custkey").alias("own"))
+    return reduces.group_fold(rows, ["own"], ["o_orderkey"], made, ["o_custkey"]).select("o_custkey", "n", "total")
 
 
 @query("a02_count_reduce", f"{SIGNED} SELECT status, CAST(sum(sign) AS BIGINT) AS n FROM s GROUP BY status")
@@ -59,7 +61,8 @@ def _(t):
 
 @query("a06_user_reduce", "SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total, CAST(sum(o_orderkey) AS DOUBLE) / count(*) AS mean FROM orders GROUP BY o_custkey")
 def _(t):
-    made = reduces.reduced(t.orders, ["o_custkey"], [Reduce("n", "count"), Reduce("total", "sum", "o_orderkey")])
+    rows = t.orders.select("o_custkey", "o_orderkey")
+    made = reduces.merged_reduce(rows, ["o_custkey"], lambda: (0, 0), lambda acc, row: (acc[0] + 1, acc[1] + row.o_orderkey), lambda a, b: (a[0] + b[0], a[1] + b[1]), "n bigint, total bigint")
     return made.withColumn("mean", F.col("total").cast("double") / F.col("n"))
 
 

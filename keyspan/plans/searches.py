@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import text, vectors
+from ..session import scratch, stored
 from .registry import query
 
 GRAMS = "SELECT doc_id, unnest(list_transform(range(1, greatest(length(text) - 1, 2)), lambda i: text[i:i+2])) AS gram FROM documents"
@@ -54,12 +55,50 @@ def _(t):
     return t.embeddings.select("vec_id", F.round(vectors.code_distance(c, q), 6).alias("distance"))
 
 
-@query("x06_shard_search")
+TOP = f"SELECT e.vec_id FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 2) q ORDER BY {D2}, e.vec_id LIMIT 10"
+
+
+def graphs(t, **options):
+    shards = max(1, t.embeddings.count() // vectors.SHARD_ROWS + 4)
+    return vectors.build_shards(t.embeddings, "vec_id", "embedding", shards, m=12, m0=24, breadth=64, **options)
+
+
+def recalled(t, found, least: float):
+    """The exact ten nearest of vector 2, and whether the search found enough of them."""
+    exact = vectors.nearest(t.embeddings, "vec_id", "embedding", t.embeddings.where("vec_id = 2").first()["embedding"], 10)
+    met = exact.join(found.select("vec_id"), "vec_id", "left_semi").agg((F.count("*") >= 10 * least).alias("enough"))
+    return exact.select("vec_id").join(F.broadcast(met))
+
+
+@query("x06_shard_search", f"SELECT vec_id, true AS enough FROM ({TOP})")
 def _(t):
     q = t.embeddings.where("vec_id = 2").first()["embedding"]
-    shards = max(1, t.embeddings.count() // vectors.SHARD_ROWS + 4)
-    graphs = vectors.build_shards(t.embeddings, "vec_id", "embedding", shards, m=12, m0=24, breadth=64)
-    return vectors.search_shards(graphs, q, 10).withColumnRenamed("key", "vec_id")
+    return recalled(t, vectors.search_shards(graphs(t), q, 10).withColumnRenamed("key", "vec_id"), 0.9)
+
+
+@query("x04_product_codes", f"SELECT vec_id, true AS enough FROM ({TOP})")
+def _(t):
+    """Codes of 256 centroids a part: the exact ten nearest are among the forty nearest by table distance."""
+    q = t.embeddings.where("vec_id = 2").first()["embedding"]
+    pq = vectors.train_pq(t.embeddings, "embedding", max(1, len(q) // 4))
+    return recalled(t, vectors.nearest_pq(t.embeddings, "vec_id", "embedding", q, 40, pq), 0.6)
+
+
+@query("x05_coded_graph", f"SELECT vec_id, true AS enough FROM ({TOP})")
+def _(t):
+    q = t.embeddings.where("vec_id = 2").first()["embedding"]
+    return recalled(t, vectors.search_shards(graphs(t, codec="i8"), q, 10).withColumnRenamed("key", "vec_id"), 0.8)
+
+
+@query("x07_snapshot", f"SELECT vec_id, true AS enough, true AS whole FROM ({TOP})")
+def _(t):
+    """A snapshot of the shards is written and read, and one that was wiped is not there."""
+    q, path = t.embeddings.where("vec_id = 2").first()["embedding"], scratch(t.spark, "shards")
+    vectors.save_shards(graphs(t), path)
+    back = vectors.load_shards(t.spark, path)
+    found = stored(vectors.search_shards(back, q, 10).withColumnRenamed("key", "vec_id"), "found")
+    whole = vectors.load_shards(t.spark, path, back.count() + 1) is None and vectors.wipe_shards(t.spark, path) and vectors.load_shards(t.spark, path) is None
+    return recalled(t, found, 0.9).withColumn("whole", F.lit(whole))
 
 
 @query("x08_bucket_recall", f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 4) SELECT e.vec_id, round({D2}, 3) AS distance FROM embeddings e, q WHERE round(CAST(e.embedding[1] / CAST(0.2 AS FLOAT) AS FLOAT)) = round(CAST(q.embedding[1] / CAST(0.2 AS FLOAT) AS FLOAT)) AND round(CAST(e.embedding[2] / CAST(0.2 AS FLOAT) AS FLOAT)) = round(CAST(q.embedding[2] / CAST(0.2 AS FLOAT) AS FLOAT)) ORDER BY {D2}, e.vec_id LIMIT 10")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +32,13 @@ FROM f LEFT JOIN c ON c.user_id = f.user_id AND c.seq = f.pp WHERE pp IS NOT NUL
 
 
 def event_changes(t: Tables) -> DataFrame:
+    return event_changes_of(t.events)
+
+
+def event_changes_of(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     op = F.when(e % 7 == 0, "del").when((e % 7 == 1) | (e % 7 == 2), "put_open").otherwise("put")
-    return t.events.select("user_id", "value", "event_type", op.alias(ch.OP), F.when(e % 14 == 0, 1).alias(ch.SLOT), e.alias(ch.SEQ), F.when((e % 7).isin(1, 2, 3), F.col("props")).alias(ch.CELL))
+    return events.select("user_id", "value", "event_type", op.alias(ch.OP), F.when(e % 14 == 0, 1).alias(ch.SLOT), e.alias(ch.SEQ), F.when((e % 7).isin(1, 2, 3), F.col("props")).alias(ch.CELL))
 
 
 def shown(state: DataFrame) -> DataFrame:
@@ -59,9 +65,11 @@ def _(t):
     return lake.import_table(t.spark, CUSTOMER, path)
 
 
-@query("l04_catalog")
+@query("l04_catalog", "SELECT 'customer_' || lower(seg) AS name, CAST(row_number() OVER (ORDER BY seg) - 1 AS INT) AS ns, CAST(1 + length(seg) % 3 AS INT) AS generation FROM (SELECT DISTINCT c_mktsegment AS seg FROM customer)")
 def _(t):
-    return lake.export_catalog(t.spark, [CUSTOMER])
+    """A collection a market segment."""
+    names = sorted(r[0] for r in t.customer.select("c_mktsegment").distinct().collect())
+    return lake.export_catalog(t.spark, [replace(CUSTOMER, name=f"customer_{n.lower()}", generation=1 + len(n) % 3) for n in names])
 
 
 @query("l05_reduce_export", "SELECT 'orders' AS \"table\", 'count' AS reduce, o_orderstatus AS \"group\", CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 3 UNION ALL SELECT 'lineitem', 'sum', CAST(l_suppkey AS VARCHAR), CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) FROM lineitem GROUP BY 3")
@@ -79,20 +87,20 @@ def _(t):
     return lake.export_edges(places(t).edges_of_predicate("lives"), {"customer": "customer", "nation": "nation"})
 
 
-@query("l08_drain")
+@query("l08_drain", "SELECT user_id, max_by(value, event_id) AS value, max_by(event_type, event_id) AS event_type, 'put' AS ks_op, NULL::BIGINT AS k FROM events GROUP BY user_id")
 def _(t):
     spark = t.spark
     stream = ev.source(spark, t.folder, "events.parquet", t.events.schema)
     table = lake.LakeTable(spark, scratch(spark, "lake"), ["user_id"])
 
     def add(batch, number):
-        table.append_named(event_changes_of(batch), f"batch-{number}", covers=number + 1)
+        table.append_named(event_puts_of(batch), f"batch-{number}", covers=number + 1)
 
     stream.writeStream.foreachBatch(add).option("checkpointLocation", scratch(spark, "position")).trigger(availableNow=True).start().awaitTermination()
     return shown(table.current())
 
 
-def event_changes_of(batch: DataFrame) -> DataFrame:
+def event_puts_of(batch: DataFrame) -> DataFrame:
     return batch.select("user_id", "value", "event_type", F.lit("put").alias(ch.OP), F.lit(None).cast("int").alias(ch.SLOT), F.col("event_id").alias(ch.SEQ), F.lit(None).cast("string").alias(ch.CELL))
 
 
@@ -132,9 +140,9 @@ def _(t):
     return shown(table.current())
 
 
-@query("l22_status")
+@query("l22_status", f"SELECT CAST(2 AS BIGINT) AS version, count(*) AS change_rows, count(*) FILTER (op = 'del') AS deletes, (SELECT count(*) FROM ({fold_sql(CHANGES)})) AS live_rows FROM {CHANGES}")
 def _(t):
-    return change_lake(t).status(with_rows=True).drop("live_bytes", "stale_bytes")
+    return change_lake(t).status(with_rows=True).drop("live_files", "live_bytes", "stale_bytes")
 
 
 @query("l25_restore", fold_sql(CHANGES))
@@ -157,10 +165,17 @@ def _(t):
     return ch.reconcile(a, b, ["k"])
 
 
-@query("l41_window_position")
+@query("l41_window_position", "SELECT event_id, user_id, CASE WHEN event_id < (SELECT count(*) FROM events) // 2 THEN 0 ELSE 1 END AS part FROM events")
 def _(t):
-    stream = ev.source(t.spark, t.folder, "events.parquet", t.events.schema)
-    return ev.drained(stream.select("event_id", "user_id"))
+    """A consumer that stops and goes on: what came before its position does not come again."""
+    n, spark = t.events.count(), t.spark
+    rows, out, position = scratch(spark, "window"), scratch(spark, "drained"), scratch(spark, "position")
+    for i in range(2):
+        half = (F.col("event_id") < n // 2) if i == 0 else (F.col("event_id") >= n // 2)
+        t.events.select("event_id", "user_id").where(half).write.mode("append").parquet(rows)
+        stream = spark.readStream.schema("event_id bigint, user_id bigint").parquet(rows)
+        ev.drain(stream, out, position)
+    return spark.read.schema("event_id bigint, user_id bigint, batch int").parquet(out).withColumnRenamed("batch", "part")
 
 
 # series: a record an event, a stream an event type, a bucket a day
@@ -170,14 +185,18 @@ FMT = series.Format(1_000_000, 86_400)
 LOG = """(SELECT event_type AS partition, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS "offset", epoch_us(ts) AS ts, epoch_us(ts) // 86400000000 AS bucket, event_id FROM events)"""
 
 
-def series_log(t: Tables) -> DataFrame:
+def series_store(t: Tables, stream: str | None = None) -> series.SeriesLog:
     ts = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    records = t.events.select("event_id", ts.alias("ts"), "event_type")
+    records = t.events.select("event_id", ts.alias("ts"), "event_type").where(F.lit(True) if stream is None else F.col("event_type") == stream)
     log = series.SeriesLog(t.spark, scratch(t.spark, "series"), FMT, "event_type")
     n = t.events.count()
     log.append(records.where(F.col("event_id") < n // 2), ["event_id"])
     log.append(records.where(F.col("event_id") >= n // 2), ["event_id"])
-    return log.log()
+    return log
+
+
+def series_log(t: Tables) -> DataFrame:
+    return series_store(t).log()
 
 
 COLS = ["partition", "offset", "ts", "bucket", "event_id"]
@@ -225,7 +244,9 @@ def _(t):
 
 @query("l34_retention", f"SELECT * FROM {LOG} WHERE bucket >= {FIRST + 10 * DAY} // {DAY}")
 def _(t):
-    return series.retained(series_log(t), FMT, FIRST + 10 * DAY + 5).select(*COLS)
+    log = series_store(t)
+    log.retain(FIRST + 10 * DAY + 5)
+    return log.log().select(*COLS)
 
 
 # streams
@@ -235,7 +256,7 @@ def event_stream(t: Tables) -> DataFrame:
     return ev.source(t.spark, t.folder, "events.parquet", t.events.schema)
 
 
-@query("e01_emit")
+@query("e01_emit", "SELECT event_id, event_type FROM events")
 def _(t):
     return ev.drained(event_stream(t).select("event_id", "event_type"))
 
@@ -268,14 +289,21 @@ def _(t):
     return ev.drained(ev.maintained(event_stream(t), ["event_type"], [F.count("*").alias("n"), F.max("event_id").alias("high")]), "complete")
 
 
-@query("e08_drain_loop")
+@query("e08_drain_loop", f"SELECT count(*) AS change_rows, CAST(0 AS BIGINT) AS deletes, count(*) AS live_rows FROM ({fold_sql(CHANGES)})")
 def _(t):
-    table = change_lake(t)
-    table.condense()
-    return table.status(with_rows=True).drop("live_bytes", "stale_bytes")
+    """Each batch is drained to the table, and the table condensed after it."""
+    table = lake.LakeTable(t.spark, scratch(t.spark, "lake"), ["user_id"])
+
+    def add(batch, number):
+        table.append_named(event_changes_of(batch), f"batch-{number}", covers=number + 1)
+        table.condense()
+
+    event_stream(t).writeStream.foreachBatch(add).option("checkpointLocation", scratch(t.spark, "position")).trigger(availableNow=True).start().awaitTermination()
+    return table.status(with_rows=True).select("change_rows", "deletes", "live_rows")
 
 
 @query("e09_follow", f"SELECT * FROM {LOG} WHERE partition = 'click' AND \"offset\" < 50")
 def _(t):
-    rows = series_log(t).where("partition = 'click'")
-    return series.read(rows, 0, 30).union(series.read(rows, 30, 20)).select(*COLS)
+    log = series_store(t, "click")
+    first, position = log.follow(0, 30)
+    return first.union(log.follow(position, 20)[0]).select(*COLS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +29,12 @@ def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where it is unset a local master has one of its own; a
+    cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         found = f"file://{tempfile.gettempdir()}/keyspan-shared"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket_of
 from ..operators.windows import clamped_clock, offsets
+from ..session import if_small
 from .files import Files
 
 
@@ -41,7 +42,7 @@ def stamped(records: DataFrame, fmt: Format, order: list[str], stream: str | Non
     rows = rows.withColumn("__clock", F.col("ts"))
     if tail is not None:
         t = tail.select(F.col("partition").alias("__p"), "next_offset", "last_ts")
-        rows = rows.join(F.broadcast(t), rows["partition"].eqNullSafe(F.col("__p")), "left").drop("__p")
+        rows = rows.join(if_small(t), rows["partition"].eqNullSafe(F.col("__p")), "left").drop("__p")
         rows = rows.withColumn("__clock", F.greatest("ts", F.coalesce("last_ts", "ts")))
         first = F.coalesce("next_offset", F.lit(0))
     else:
