@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: The folder that scratch tables go to now, below the shared one.
+_FOLDER = ContextVar("folder", default="keyspan")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/keyspan/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_FOLDER.get()}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made meanwhile are deleted at the end, so what comes of them must be stored elsewhere by then."""
+    own = f"keyspan/run-{uuid.uuid4().hex}"
+    token = _FOLDER.set(own)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{own}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, name: str, partitions: Sequence[str] = ()) -> DataFrame:
+def stored(df: DataFrame, name: str, partitions: Sequence[str] = (), path: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = path or scratch(spark, name)
     df.write.option("compression", "zstd").partitionBy(*partitions).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -40,7 +40,7 @@ EPOCHS, RATE, DECAY = 40, 0.35, 1e-6
 #: Documents of the sample in all, however many languages there are.
 MOST_DOCS = 20_000
 #: Words scored together, and words whose scores are remembered by a worker.
-TOGETHER, REMEMBERED = 100_000, 40_000
+TOGETHER, REMEMBERED = 200_000, 80_000
 
 
 def words_of(text: str) -> list[str]:
@@ -178,14 +178,14 @@ class Field:
         alpha[: active[0]] = a
         for t in range(1, longest):
             i, j = at[t], at[t + 1]
-            a = (alpha[at[t - 1] : at[t - 1] + j - i] @ moves) * e[i:j]
+            a = _times(alpha[at[t - 1] : at[t - 1] + j - i], moves) * e[i:j]
             a /= a.sum(axis=1, keepdims=True)
             alpha[i:j] = a
         b = np.ones((len(sizes), len(self.langs)), np.float32)
         back = np.ascontiguousarray(moves.T)
         for t in range(longest - 1, 0, -1):
             i, j = at[t], at[t + 1]
-            n = (e[i:j] * b[: j - i]) @ back
+            n = _times(e[i:j] * b[: j - i], back)
             n /= n.sum(axis=1, keepdims=True)
             alpha[i:j] *= b[: j - i]
             b[: j - i] = n
@@ -194,6 +194,11 @@ class Field:
         return flat, alpha
 
 
+def _times(rows: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """``rows @ moves``, each row by itself: a library's product of a row may differ in the last bit by the rows beside it."""
+    return (rows[:, :, None] * moves).sum(axis=1)
+
+
 def fit(texts: list[tuple[str, str]], seed: int = 7) -> Field | None:
     """A field from (text, language) pairs, by adaptive gradient steps on the mean log-likelihood of the sequences."""
     docs = [(_drawn(words_of(t)), lang) for t, lang in sorted(texts)]
