@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.llm import decontamination, jaccard, language_id, mixing, pii
-from keyspan.llm.common import if_small, stored
+from keyspan.llm.common import if_small, scratch, scratch_folder, stored
 
 ROW = "__row"
 
@@ -70,13 +70,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
+    """All stages, each but the last written to the shared folder and read again; what a stage made on the way is deleted then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs, f"stage-{i}")
-    return docs
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        path = scratch(spark, f"stage-{i}")
+        with scratch_folder(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{i}", path=path)
 
 
 #: Language ID, SimHash windows and masking can't be said in SQL.
