@@ -123,8 +123,8 @@ class Field:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.empty((len(words), len(self.langs)), np.float32)
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
+        for a in range(0, len(words), 4_000):
+            part = words[a : a + 4_000]
             f = features(part)
             out[a : a + len(part)] = self.weights[f].sum(axis=1)
             out[a : a + len(part)] += self.lexical[np.fromiter((self.lexicon.get(w, 0) for w in part), np.int64, len(part))]
