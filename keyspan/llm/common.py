@@ -50,11 +50,23 @@ def scratch_folder(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, name: str, partitions: Sequence[str] = (), path: str | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Rows that Python workers are sent together where a scratch table is made: whole texts, so a few MB.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2_000
+
+
+def stored(df: DataFrame, name: str, partitions: Sequence[str] = (), path: str | None = None, codec: str = "snappy") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Most tables are hashes, which no codec makes smaller; ``codec``: another for texts."""
     spark = df.sparkSession
     path = path or scratch(spark, name)
-    df.write.option("compression", "zstd").partitionBy(*partitions).parquet(path)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", codec).partitionBy(*partitions).parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -512,7 +512,7 @@ def repeated_spans(docs: DataFrame, names: DataFrame) -> DataFrame:
     found = docs.join(asked.join(names, "cls"), "row").select("cls", "text", "places", "same")
     if not names.where("same > 1").isEmpty():  # of rows that are the same, one goes on
         found = found.where("same = 1").unionByName(found.where("same > 1").dropDuplicates(["cls"]))
-    suspects = stored(found.drop("same"), "suspects")
+    suspects = stored(found.drop("same"), "suspects", codec="zstd")
     made = stored(suspects.mapInPandas(_digests(COMBINED), f"known boolean, {DIGESTS}"), "digests")
     order = [c.split()[0] for c in DIGESTS.split(", ")]
     lone = made.where("NOT known").select(*order)
@@ -525,7 +525,7 @@ def repeated_spans(docs: DataFrame, names: DataFrame) -> DataFrame:
     several = several.groupBy("cls").agg(F.collect_list("place").alias("places"), F.collect_list("low").alias("lows"))
     again = suspects.select("cls", "text").join(several, "cls")
     contexts = again.mapInPandas(_contexts(CONTEXTS, _context), CONTEXTS)
-    contexts = stored(contexts.join(several.select("cls", F.explode(F.arrays_zip("places", "lows")).alias("z")).select("cls", F.col("z.places").alias("place"), F.col("z.lows").alias("low")), ["cls", "place", "low"], "left_semi"), "contexts")
+    contexts = stored(contexts.join(several.select("cls", F.explode(F.arrays_zip("places", "lows")).alias("z")).select("cls", F.col("z.places").alias("place"), F.col("z.lows").alias("low")), ["cls", "place", "low"], "left_semi"), "contexts", codec="zstd")
     rows = contexts.count()
     plain = contexts.select(*(c.split()[0] for c in CONTEXTS.split(", ")))
     after, before = _sorted_neighbours(plain, "after", "before", rows), _sorted_neighbours(plain, "before", "after", rows)
