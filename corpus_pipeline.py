@@ -77,7 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return stage(spark, docs, sf_dir)
         path = scratch(spark, f"stage-{i}")
         with scratch_folder(spark):
-            docs = stored(stage(spark, docs, sf_dir), f"stage-{i}", path=path)
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{i}", path=path, codec="zstd")
 
 
 #: Language ID, SimHash windows and masking can't be said in SQL.
