@@ -238,3 +238,49 @@ def test_cluster_writes(spark):
     assert s.materialize("team", 5, spark.createDataFrame([("p", 1), ("p", 99)], "ns string, node bigint")).nodes_in("team", 5).count() == 1
     assert s.merge_sets("team", 1, [2]).nodes_in("team", 1).count() == 1
     assert [r.id for r in s.descendants(1).collect()] == [2]
+
+
+def test_split_and_compose_are_inverse(spark):
+    rows = spark.createDataFrame([(1, '{"a":"x","n":{"m":[1,2]},"b":2}'), (2, '{"a":null}'), (3, "{}"), (4, '{"z":true}')], "id bigint, document string")
+    halves = documents.split(rows, ["id"], {"a": "string", "b": "bigint"})
+    assert sorted((r.id, r.a, r.b, r.open) for r in halves.collect()) == [(1, "x", 2, '{"n":{"m":[1,2]}}'), (2, None, None, None), (3, None, None, None), (4, None, None, '{"z":true}')]
+    again = {r.id: r.document for r in documents.compose(halves, ["id"]).collect()}
+    assert again == {1: '{"a":"x","b":2,"n":{"m":[1,2]}}', 2: "{}", 3: "{}", 4: '{"z":true}'}
+    with pytest.raises(Exception, match="b is not bigint"):
+        documents.split(rows.selectExpr("id", """'{"b":"no"}' AS document"""), ["id"], {"b": "bigint"}).collect()
+
+
+def test_merged_reduce_is_one_fold_however_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(reduces, "FOLDED", 3)
+    rows = spark.range(200).selectExpr("id % 7 AS g", "id AS v")
+    want = {g: (len(v), sum(v)) for g in range(7) for v in [[x for x in range(200) if x % 7 == g]]}
+    for parts in (1, 9):
+        got = reduces.merged_reduce(rows.repartition(parts), ["g"], lambda: (0, 0), lambda acc, r: (acc[0] + 1, acc[1] + r.v), lambda a, b: (a[0] + b[0], a[1] + b[1]), "n bigint, total bigint")
+        assert {r.g: (r.n, r.total) for r in got.collect()} == want
+
+
+def test_text_is_ranked_in_place(spark):
+    from keyspan.operators import text
+
+    docs = spark.createDataFrame([(1, "aaaa"), (2, "xaax"), (3, "a.\\Eb"), (4, None), (5, ""), (6, "aa"), (7, "a")], "id bigint, t string")
+    assert [r.id for r in text.matching(docs, "id", "t", ["aa"], 2).orderBy("id").collect()] == [1, 2, 6]
+    assert [r.id for r in text.matching(docs, "id", "t", ["\\E", "xa"], 2, every=False).orderBy("id").collect()] == [2, 3]
+    got = [r.id for r in text.rank(docs, "id", "t", "aa", 2, 9).collect()]
+    assert got[0] in (1, 6) and sorted(got) == [1, 2, 6] and [r.id for r in text.rank(docs, "id", "t", "a", 2, 9).collect()] == [7]
+    assert docs.select(text.occurrences(F.col("t"), "aa", 2).alias("n")).first().n == 3 and text.rank(docs.limit(0), "id", "t", "aa", 2, 9).count() == 0
+
+
+def test_graph_holds_coded_vectors(spark):
+    import numpy as np
+
+    from keyspan.operators import vectors
+
+    r = np.random.default_rng(3)
+    data = r.normal(size=(300, 8)).astype(np.float32)
+    pq = vectors.ProductQuantizer.train(data, 4)
+    for codec, least in ((None, 9), ("i8", 8), (pq, 4)):
+        g = vectors.NavigableGraph(codec=codec)
+        for i, v in enumerate(data):
+            g.insert(i, v)
+        exact = set(np.argsort(((data - data[0]) ** 2).sum(axis=1))[:10].tolist())
+        assert len({k for k, _ in g.search(data[0], 10)} & exact) >= least

@@ -155,3 +155,62 @@ def test_quantiser_recall():
         hits += len(exact & set(np.argsort(pq.distances(pq.table(x[i]), codes))[:10]))
     assert hits / 400 >= 0.6
     assert vectors.ProductQuantizer.train(x, 7) is None and vectors.ProductQuantizer.train(x[:1], 8) is None
+
+
+def test_the_log_is_one_that_others_can_read(spark, tmp_path):
+    import json
+
+    t = lake.LakeTable(spark, f"file://{tmp_path}/open", ["id"])
+    make = lambda log: spark.createDataFrame(log, KIND).coalesce(1)
+    t.append(make([(1, "a", "put", None, 0, None)]), covers=1)
+    t.append(make([(5, None, "put", None, 1, None)]).withColumn("more", F.lit(1)), covers=2)
+    actions = [[json.loads(x) for x in (tmp_path / "open/_delta_log" / f"{v:020d}.json").read_text().splitlines()] for v in range(2)]
+    assert [next(iter(a)) for a in actions[0]] == ["commitInfo", "protocol", "metaData", "add"]
+    add = actions[1][-1]["add"]
+    stats = json.loads(add["stats"])
+    assert (tmp_path / "open" / add["path"]).stat().st_size == add["size"] and stats["numRecords"] == 1 and stats["minValues"]["id"] == 5 and stats["nullCount"]["v"] == 1
+    assert [f["name"] for f in json.loads(actions[1][2 - 1]["metaData"]["schemaString"])["fields"]][-1] == "more"
+    t.checkpoint()
+    before = t.live()
+    for v in range(2):
+        t.files.delete(f"_delta_log/{v:020d}.json")
+    again = lake.LakeTable(spark, f"file://{tmp_path}/open", ["id"])
+    assert again.live() == before and again.version() == 1 and again.append(make([(7, "z", "put", None, 2, None)])) == 2
+    assert set(rows_of(again.current().drop("more"))) == {1, 5, 7}
+
+
+def test_a_baseline_keeps_the_order_of_changes(spark, tmp_path):
+    t = lake.LakeTable(spark, f"file://{tmp_path}/base", ["id"])
+    make = lambda log: spark.createDataFrame(log, KIND)
+    t.append(make([(1, "a", "put", None, 0, None), (2, "b", "put", None, 1, None)]))
+    t.append(make([(1, "c", "put", None, 0, None)]))
+    t.append(make([(1, None, "del", None, 0, None), (2, "d", "put", None, 1, None)]))
+    t.compact(keep=1)
+    assert rows_of(t.current()) == {2: ("d", "put", None)} and t.compact(keep=10) == t.version()
+
+
+def test_captured_changes_replay_to_what_the_write_made(spark):
+    kind = "id bigint, name string, open string"
+    old = spark.createDataFrame([(1, "a", '{"x":1,"y":2}'), (2, "b", None), (3, "c", '{"z":1}'), (4, None, None)], kind)
+    new = spark.createDataFrame([(1, "a", '{"x":1}'), (2, "b", None), (4, "d", None), (9, "n", '{"k":[1]}')], kind)
+    made = ch.captured(old, new, ["id"], first_seq=10)
+    assert [(r.id, r.ks_op, r.ks_slot, r.ks_seq) for r in made.orderBy("ks_seq").collect()] == [(1, "del", 1, 10), (1, "put", None, 11), (3, "del", None, 12), (4, "put", None, 13), (9, "put", None, 14)]
+    base = ch.captured(old.limit(0), old, ["id"])
+    got = ch.current_state(ch.aligned([base, made]), ["id"])
+    assert sorted((r.id, r.name, r.cell) for r in got.collect()) == [(1, "a", '{"x":1}'), (2, "b", None), (4, "d", None), (9, "n", '{"k":[1]}')]
+    assert ch.captured(old, old, ["id"]).count() == 0 and ch.captured(old, new, ["id"], new.where("id = 9")).count() == 1
+
+
+def test_batches_are_seen_whole_or_not(spark, tmp_path):
+    tables = {n: lake.LakeTable(spark, f"file://{tmp_path}/{n}", ["id"]) for n in ("a", "b")}
+    batches = lake.Batches(spark, f"file://{tmp_path}/all", tables)
+    make = lambda i: spark.createDataFrame([(i, "x", "put", None, i, None)], KIND)
+    assert batches.snapshot() == {}
+    assert batches.commit("one", {"a": make(1), "b": make(1)}) == 0 == batches.commit("one", {"a": make(1), "b": make(1)})
+    tables["a"].append_named(make(2), "two")
+    assert {n: set(rows_of(df)) for n, df in batches.snapshot().items()} == {"a": {1}, "b": {1}}
+    assert batches.commit("two", {"a": make(2), "b": make(3)}) == 1
+    assert {n: set(rows_of(df)) for n, df in batches.snapshot().items()} == {"a": {1, 2}, "b": {1, 3}}
+    assert set(rows_of(batches.snapshot(0)["b"])) == {1}
+    with pytest.raises(lake.LakeError):
+        batches.commit("three", {"c": make(1)})
