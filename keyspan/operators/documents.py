@@ -22,13 +22,17 @@ def merged(old: object, new: object) -> object:
     return new
 
 
+def json_text(value: object) -> str | None:
+    return None if value is None else json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 def merge_json_texts(texts: Sequence[str | None]) -> str | None:
     out: object = None
     for t in texts:
         if t is not None:
             value = json.loads(t)
             out = value if out is None else merged(out, value)
-    return None if out is None else json.dumps(out, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json_text(out)
 
 
 @F.pandas_udf(StringType())

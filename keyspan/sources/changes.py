@@ -7,14 +7,16 @@ halves, an open delete ends the open half, and cells merge from left to right; a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..operators.documents import merge_cells
+from ..operators.documents import json_text, merged
 from ..session import if_small, stored
 
 OP, SLOT, SEQ, CELL = "ks_op", "ks_slot", "ks_seq", "cell"
@@ -62,27 +64,52 @@ def current_state(changes: DataFrame, key: Sequence[str], order: Sequence[str] =
 
     put = (F.col(OP) == "put") & after("__d")
     alive = F.col(OP).isin("put", "put_open") & after("__d")
-    cell = F.when(F.col(CELL).isNotNull() & after("__od"), F.struct("__pos", CELL))
     folded = rest.groupBy(*key).agg(
         F.max(F.when(put, F.col("__pos"))).alias("__pp"),
         F.max_by(F.struct(*columns) if columns else F.struct(F.lit(1).alias("__none")), F.when(put, F.col("__pos"))).alias("__row"),
         F.max(F.when(alive, F.col("__pos"))).alias("__sp"),
-        F.sort_array(F.collect_list(cell)).alias("__cells"),
+        F.count_if(F.col(CELL).isNotNull() & after("__od")).alias("__cells"),
     )
-    live = folded.where(F.col("__pp").isNotNull() | (F.col("__sp").isNotNull() & (F.size("__cells") > 0)))
+    cells = rest.where(F.col(CELL).isNotNull() & after("__od")).select(*key, "__pos", CELL)
+    live = folded.join(folded_cells(cells, key, "__pos"), list(key), "left")
+    live = live.where(F.col("__pp").isNotNull() | (F.col("__sp").isNotNull() & (F.col("__cells") > 0)))
     out = live.select(
         *key,
         *[F.when(F.col("__pp").isNotNull(), F.col("__row")[c]).alias(c) for c in columns],
         F.when(F.col("__pp").isNotNull(), "put").otherwise("put_open").alias(OP),
         F.lit(None).cast("int").alias(SLOT),
         F.coalesce("__pp", "__sp").alias("__at"),
-        merge_cells(F.transform("__cells", lambda c: c[CELL])).alias(CELL),
+        CELL,
     )
     if not renumber:
         return out.select(*key, *columns, OP, SLOT, CELL, F.col("__at").alias("last_write"))
     return numbered(out, "__at", SEQ).drop("__at")
 
 
+def folded_cells(cells: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """Each key's cells merged from left to right, as they pass in order: what is held is one key's merged cell, however many
+    it has. (Merging can't be cut and put together: a value that replaces a map ends what came before it.)"""
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*key).schema)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, acc = None, None
+        for frame in frames:
+            out = []
+            for *k, text in frame.itertuples(index=False, name=None):
+                if k != last:
+                    if last is not None:
+                        out.append((*last, json_text(acc)))
+                    last, acc = k, None
+                value = json.loads(text)
+                acc = value if acc is None else merged(acc, value)
+            if out:
+                yield pd.DataFrame(out, columns=[*key, CELL])
+        if last is not None:
+            yield pd.DataFrame([(*last, json_text(acc))], columns=[*key, CELL])
+
+    return cells.repartition(*key).sortWithinPartitions(*key, order).select(*key, CELL).mapInPandas(run, f"{kind}, {CELL} string")
+
+
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """Dense numbers from 0 in ``order`` without one task for all rows: sorted ranges, then each range's count before it."""
     ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
