@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -311,11 +312,13 @@ def identify(docs: DataFrame, field: Field | None, text: str = "text") -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(field)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
 
-    def run(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for texts in frames:
             pred, score = np.full(len(texts), UND, dtype=object), np.zeros(len(texts))
-            rows = ((i, words_of(t)) for i, t in enumerate(texts) if t)
+            # a few texts at a time are taken out of the batch
+            some = (t for first in range(0, len(texts), 64) for t in texts.slice(first, 64).to_pylist())
+            rows = ((i, words_of(t)) for i, t in enumerate(some) if t)
             lettered = ((i, w) for i, w in rows if own and any(c.isalpha() for x in w for c in x))
             for part in in_blocks(lettered, lambda r: len(r[1]), TOGETHER):
                 share = own.shares([w for _, w in part])
@@ -323,9 +326,9 @@ def identify(docs: DataFrame, field: Field | None, text: str = "text") -> DataFr
                 best = share.argmax(axis=1)
                 pred[at] = [own.langs[k] for k in best]
                 score[at] = np.minimum(share[np.arange(len(part)), best], 1.0)
-            yield pd.DataFrame({"lang_pred": pred, "score": score})
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
-    judged = F.pandas_udf(run, "struct<lang_pred:string,score:double>")
+    judged = F.arrow_udf(run, "struct<lang_pred:string,score:double>")
     out = docs.select(*kept, judged(docs[text].cast("string")).alias("__lang"))
     return out.select(*kept, "__lang.lang_pred", "__lang.score")
 
