@@ -107,7 +107,8 @@ def folded_cells(cells: DataFrame, key: Sequence[str], order: str) -> DataFrame:
         if last is not None:
             yield pd.DataFrame([(*last, json_text(acc))], columns=[*key, CELL])
 
-    return cells.repartition(*key).sortWithinPartitions(*key, order).select(*key, CELL).mapInPandas(run, f"{kind}, {CELL} string")
+    # by a hash: where a join already dealt by the key, Spark drops a repartition by it, and may then read that join unshuffled
+    return cells.repartition(F.xxhash64(*key)).sortWithinPartitions(*key, order).select(*key, CELL).mapInPandas(run, f"{kind}, {CELL} string")
 
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:

@@ -189,6 +189,42 @@ def test_a_baseline_keeps_the_order_of_changes(spark, tmp_path):
     assert rows_of(t.current()) == {2: ("d", "put", None)} and t.compact(keep=10) == t.version()
 
 
+def test_rows_of_a_version_are_folded_by_number_however_they_lie_in_files(spark, tmp_path):
+    t = lake.LakeTable(spark, f"file://{tmp_path}/mixed", ["id"])
+
+    def make(*tasks):
+        return spark.createDataFrame(spark.sparkContext.parallelize([r for rows in tasks for r in rows], len(tasks)), KIND)
+
+    late, early = [(1, "new", "put", None, 7, None), (2, None, "del", None, 8, None)], [(1, "old", "put", None, 2, None), (2, "b", "put", None, 3, None)]
+    t.append(make(late, early), covers=1)
+    assert len(t.live()) == 2 and rows_of(t.current()) == {1: ("new", "put", None)}
+    assert rows_of(t.restore(0, make([(3, "c", "put", None, 9, None)]))) == {1: ("new", "put", None), 3: ("c", "put", None)}
+    t.append(make([(1, "last", "put", None, 0, None)]))  # a later version comes after all of the first, whatever its numbers
+    assert rows_of(t.current()) == {1: ("last", "put", None)}
+    t.checkpoint()
+    assert t.status(with_rows=True).first().live_rows == 1
+    t.compact(keep=1)
+    assert rows_of(t.current()) == {1: ("last", "put", None)}
+    t.condense()
+    assert rows_of(t.current()) == {1: ("last", "put", None)}
+
+
+def test_a_key_has_one_state_when_a_join_turns_into_a_broadcast(spark, tmp_path):
+    """The deletes turn out to be few only as the plan runs; the cells of a key must still meet in one task."""
+    rows = [(i % 40, f"v{i}", "put" if i < 800 else "del" if i % 40 < 5 else "put_open", 1 if i >= 800 and i % 40 < 5 else None, i, None if i >= 800 and i % 40 < 5 else f'{{"n":{i}}}') for i in range(840)]
+    spark.createDataFrame(rows, KIND).repartition(4).write.parquet(f"{tmp_path}/rows")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted((r.id, r.cell) for r in ch.current_state(spark.read.parquet(f"{tmp_path}/rows"), ["id"]).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert got == [(i, None if i < 5 else f'{{"n":{800 + i}}}') for i in range(40)]
+
+
 def test_captured_changes_replay_to_what_the_write_made(spark):
     kind = "id bigint, name string, open string"
     old = spark.createDataFrame([(1, "a", '{"x":1,"y":2}'), (2, "b", None), (3, "c", '{"z":1}'), (4, None, None)], kind)
