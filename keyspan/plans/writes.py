@@ -222,9 +222,12 @@ def _(t):
 def _(t):
     found = {}
     for a in change_lake(t).live():
+        if not a["rows"]:
+            continue
         low, high, _ = a["stats"]["user_id"]
-        r = found.get(a["version"], (0, low, high, 0))
-        found[a["version"]] = (r[0] + a["rows"], min(r[1], low), max(r[2], high), r[3] + a["stats"][ch.CELL][2])
+        r = found.get(a["version"], (0, None, None, 0))
+        lows, highs = ([x for x in pair if x is not None] for pair in ((r[1], low), (r[2], high)))
+        found[a["version"]] = (r[0] + a["rows"], min(lows, default=None), max(highs, default=None), r[3] + a["stats"][ch.CELL][2])
     return t.spark.createDataFrame([(v, *r) for v, r in found.items()], "version bigint, rows bigint, low bigint, high bigint, nulls bigint")
 
 

@@ -225,6 +225,23 @@ def test_a_key_has_one_state_when_a_join_turns_into_a_broadcast(spark, tmp_path)
     assert got == [(i, None if i < 5 else f'{{"n":{800 + i}}}') for i in range(40)]
 
 
+def test_files_without_rows_are_not_added(spark, tmp_path):
+    """Spark's first task leaves a file even if it has no rows."""
+    from keyspan import catalog
+
+    t = lake.LakeTable(spark, f"file://{tmp_path}/empty", ["id"])
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(9, "x", "del", None, 0, None), (1, "a", "put", None, 1, None)], 2), KIND)
+    t.append(rows.where("id = 1"))
+    (only,) = t.live()
+    assert only["stats"]["id"] == [1, 1, 0] and len(t._data()) == 1
+    t.append(rows.limit(0))
+    assert rows_of(t.current()) == {1: ("a", "put", None)} and sum(a["rows"] for a in t.live()) == 1
+
+    events = spark.sql("SELECT id AS event_id, CASE WHEN id < 4 THEN id END AS user_id, 'click' AS event_type, 1.0D AS value, CAST(NULL AS STRING) AS props FROM range(6)")
+    events.sort(F.desc("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(catalog.queries()["l15_file_stats"](spark, str(tmp_path)).collect()) == [(0, 2, 0, 1, 2), (1, 2, 2, 3, 2), (2, 2, None, None, 2)]
+
+
 def test_captured_changes_replay_to_what_the_write_made(spark):
     kind = "id bigint, name string, open string"
     old = spark.createDataFrame([(1, "a", '{"x":1,"y":2}'), (2, "b", None), (3, "c", '{"z":1}'), (4, None, None)], kind)
