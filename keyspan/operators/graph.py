@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import if_small, stored
 
 EDGE = ["src_ns", "src", "predicate", "dst_ns", "dst"]
 
@@ -148,13 +148,22 @@ def label_step(neighbors: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def label_propagation(neighbors: DataFrame, labels: DataFrame, most: int = 30) -> DataFrame:
-    """Steps until no label changes, ``most`` at most (two generations may alternate for ever)."""
-    for _ in range(most):
-        after = stored(label_step(neighbors, labels), "labels")
-        moved = after.join(labels.toDF("node", "old"), "node").where("label <> old")
-        if moved.isEmpty():
+    """Labels after ``most`` steps. No step is made once labels stay as they are, or are those of two steps before: from there
+    two states alternate, and the last one follows from the number of steps that are left.
+
+    Pairs are stored in the order of their nodes, so that most votes of a node are counted before they are shuffled."""
+    neighbors = stored(neighbors, "pairs")
+    neighbors = stored(neighbors.repartitionByRange("node", "neighbor"), "neighbors")
+    labels, before = stored(labels, "labels"), None
+    for i in range(most):
+        after = stored(label_step(neighbors, if_small(labels)), "labels")
+        both = after.join(labels.toDF("node", "old"), "node").join((labels if before is None else before).toDF("node", "older"), "node")
+        moved, alternate = both.selectExpr("coalesce(bool_or(label <> old), false)", "coalesce(bool_and(label = older), false)").first()
+        if not moved:
             return after
-        labels = after
+        if before is not None and alternate:
+            return after if (most - i - 1) % 2 == 0 else labels
+        before, labels = labels, after
     return labels
 
 

@@ -201,6 +201,18 @@ def test_graph_algorithms(spark):
     assert labels.select("label").distinct().count() == 1
 
 
+def test_label_propagation_ends_when_two_states_alternate(spark, monkeypatch):
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (4, 3), (5, 5)], "node bigint, neighbor bigint")
+    labels = pairs.select("node").withColumn("label", F.col("node"))
+    steps, one = [], graph.label_step
+    monkeypatch.setattr(graph, "label_step", lambda *a: steps.append(1) or one(*a))
+    swapped, same = {1: 2, 2: 1, 3: 4, 4: 3, 5: 5}, {i: i for i in range(1, 6)}
+    for most in (0, 1, 2, 9, 30):
+        assert {r.node: r.label for r in graph.label_propagation(pairs, labels, most).collect()} == (swapped if most % 2 else same)
+    assert len(steps) == 0 + 1 + 2 + 2 + 2
+    assert graph.label_propagation(pairs.limit(0), labels.limit(0)).count() == 0
+
+
 def small_store(spark):
     edges = spark.createDataFrame([("p", 1, "works", "o", 7, 3), ("p", 2, "works", "o", 7, 4), ("p", 2, "knows", "p", 1, 5)], "src_ns string, src bigint, predicate string, dst_ns string, dst bigint, weight bigint")
     nodes = spark.createDataFrame([("p", 1), ("p", 2), ("o", 7)], "ns string, node bigint")
