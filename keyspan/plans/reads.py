@@ -390,7 +390,7 @@ def _(t):
 
 @query("o04_limit", "SELECT o_orderkey FROM orders WHERE o_custkey >= 100 ORDER BY o_custkey, o_orderkey LIMIT 10")
 def _(t):
-    return orders(t).range("by_customer", 100, parts=(FIELDS, KEY)).limit(10).select("o_orderkey")
+    return orders(t).range("by_customer", 100, parts=(FIELDS, KEY), ordered=True).limit(10).select("o_orderkey")
 
 
 @query("o05_offset_page", "SELECT o_custkey, o_orderkey FROM orders ORDER BY 1, 2 LIMIT 10 OFFSET 30")

@@ -68,6 +68,15 @@ def test_faces(spark):
         c.exact("by_owner")
 
 
+def test_a_limit_takes_the_first_in_the_order_of_the_face(spark, tmp_path):
+    from keyspan import catalog
+
+    rows = spark.range(40).selectExpr("id AS o_orderkey", "100 + (id * 7) % 40 AS o_custkey", "'O' AS o_orderstatus", "1.0D AS o_totalprice", "'1-URGENT' AS o_orderpriority", "current_date() AS o_orderdate")
+    rows.repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    got = [r.o_orderkey for r in catalog.queries()["o04_limit"](spark, str(tmp_path)).collect()]
+    assert got == sorted(range(40), key=lambda i: (i * 7) % 40)[:10]
+
+
 def test_a_covered_scan_reads_only_what_it_names(spark, tmp_path):
     spark.range(100).selectExpr("id", "id % 7 AS a", "id * 2 AS b", "cast(id AS string) AS c").write.parquet(str(tmp_path / "t"))
     c = Collection(spark.read.parquet(str(tmp_path / "t")), ["id"], [Face("by_a", ("a",), includes=("b",))])
