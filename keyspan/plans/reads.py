@@ -411,7 +411,7 @@ def _(t):
 @query("o07_top_k_distance", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, CAST(round(list_sum(list_transform(list_zip(embedding, e), lambda p: power(CAST(p[1] - p[2] AS DOUBLE), 2))), 4) AS DOUBLE) AS distance FROM embeddings, q ORDER BY distance, vec_id LIMIT 10")
 def _(t):
     q = t.embeddings.where("vec_id = 0").first()["embedding"]
-    return nearest(t.embeddings, "vec_id", "embedding", q, 10).select("vec_id", F.round(F.col("distance").cast("double"), 4).alias("distance"))
+    return nearest(t.embeddings, "vec_id", "embedding", q, 10, digits=4).select("vec_id", "distance")
 
 
 @query("o08_top_k_tally", "SELECT c_mktsegment AS id, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, id LIMIT 3")

@@ -117,6 +117,19 @@ def test_vectors(spark):
     assert [r.k for r in vectors.nearest_allowed(df, "k", "v", [0.9, 0, 0], 1, allowed).collect()] == [1]
 
 
+def test_nearest_orders_by_what_it_returns(spark, tmp_path):
+    from keyspan import catalog
+
+    # thirteen squared distances that are 9.0 in four places, each a little less than that of the row before
+    rows = [(0, [0.0, 0.0]), *[(i, [3.0, 0.0066 - 0.0005 * i]) for i in range(1, 14)]]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [tuple(r) for r in catalog.queries()["o07_top_k_distance"](spark, str(tmp_path)).collect()]
+    assert got == [(0, 0.0), *[(i, 9.0) for i in range(1, 10)]]
+    # squared distances that differ in double precision only
+    near = spark.createDataFrame([(1, [0.0, 1.0, 0.0001]), (2, [0.0, 1.0, 0.00001])], "k bigint, v array<float>")
+    assert [r.k for r in vectors.nearest(near, "k", "v", [0.0, 0.0, 0.0], 2).collect()] == [2, 1]
+
+
 def test_nearest_all_goes_through_queries_in_blocks(spark, monkeypatch):
     x = _rows(60, 8)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k bigint, v array<float>").repartition(3)
