@@ -5,7 +5,7 @@ resampled PCM of a binary column of such files. Samples expand by table; ADPCM b
 one step for the k-th sample of all blocks; resampling is linear.
 
 The query takes each text as the samples of a file of one of the three formats, by a checksum of the text, stores files and
-PCM, and reads both back; its PCM has ``QUERY_RATE``, as PCM of the usual rates would be many times the texts.
+PCM of the usual rate, and reads both back.
 
 Edge cases: a null media value gives null columns; a file of no samples gives empty PCM; a file that is not a WAV, or
 of another format, gives null and an ``error``. Repeated rows give equal results; added columns replace those of
@@ -27,7 +27,7 @@ from .common import in_blocks, stored
 
 MULAW, ALAW, IMA = 7, 6, 17
 CODES, NAMES = (MULAW, ALAW, IMA), {MULAW: "ulaw", ALAW: "alaw", IMA: "ima"}
-RATE, STORE_RATE, QUERY_RATE = 8000, 16000, 2000
+RATE, STORE_RATE = 8000, 16000
 #: Bytes of an IMA block: a 4-byte header, then two samples a byte.
 BLOCK = 192
 #: Payload bytes that are expanded together.
@@ -266,4 +266,4 @@ def measure(media: DataFrame) -> DataFrame:
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = text_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return measure(stored(store_pcm(media, rate=QUERY_RATE), "media", codec="zstd"))
+    return measure(stored(store_pcm(media), "media", codec="zstd"))

@@ -309,6 +309,13 @@ def test_media(spark):
     assert stored == {1: (40, None), 2: (None, "not a RIFF WAVE file"), 3: (None, None), 4: (754, None), 5: (0, None)}
 
 
+def test_the_telephony_query_keeps_every_sample(spark, tmp_path):
+    texts = ["a text of some length " * 9, "é" * 500, "", None, *[f"text {i}" * i for i in range(9)]]
+    docs(spark, *enumerate(texts)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.feature for r in telephony.op6_telephony(spark, str(tmp_path)).collect()}
+    assert got == {i: slow_feature(telephony.padded(t)[1], telephony.STORE_RATE) for i, t in enumerate(texts)}
+
+
 # --- 7
 
 
