@@ -55,16 +55,16 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 2_000
 
 
-def stored(df: DataFrame, name: str, partitions: Sequence[str] = (), path: str | None = None, codec: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, name: str, partitions: Sequence[str] = (), path: str | None = None, codec: str = "snappy", options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Most tables are hashes, which no codec makes smaller; ``codec``: another for texts."""
+    Most tables are hashes, which no codec makes smaller; ``codec``, ``options``: others for texts."""
     spark = df.sparkSession
     path = path or scratch(spark, name)
     before = spark.conf.get(BATCH)
     spark.conf.set(BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
     try:
-        df.write.option("compression", codec).partitionBy(*partitions).parquet(path)
+        df.write.options(compression=codec, **(options or {})).partitionBy(*partitions).parquet(path)
     finally:
         spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)

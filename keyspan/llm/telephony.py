@@ -32,6 +32,8 @@ RATE, STORE_RATE = 8000, 16000
 BLOCK = 192
 #: Payload bytes that are expanded together.
 PART_BYTES = 1 << 20
+#: Texts repeat over more than a page of the usual size.
+SMALL = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 #: Blocks decoded at once.
 TOGETHER = 1 << 16
 
@@ -180,8 +182,8 @@ def resample(pcm: np.ndarray, rate: int, to: int = STORE_RATE) -> np.ndarray:
 STORED = "pcm binary, pcm_rate int, pcm_samples bigint, error string"
 
 
-def store_pcm(media: DataFrame, column: str = "media", rate: int = STORE_RATE) -> DataFrame:
-    """``media`` with the 16-bit little-endian PCM of ``column``, resampled."""
+def store_pcm(media: DataFrame, column: str = "media", rate: int = STORE_RATE, pack: bool = False) -> DataFrame:
+    """``media`` with the 16-bit little-endian PCM of ``column``, resampled; ``pack``: as ``packed`` makes it."""
     added = [c.split()[0] for c in STORED.split(", ")]
     kept = [c for c in media.columns if c.lower() not in added]
     schema = media.select(kept).schema
@@ -200,7 +202,8 @@ def store_pcm(media: DataFrame, column: str = "media", rate: int = STORE_RATE) -
                         made.append((None, None, None, None))
                     else:
                         pcm = resample(found[1], found[0], rate)
-                        made.append((pcm.astype("<i2").tobytes(), rate, len(pcm), None))
+                        raw = pcm.astype("<i2").tobytes()
+                        made.append((packed(raw) if pack else raw, rate, len(pcm), None))
                 part = frame.iloc[first : first + len(wavs)]
                 first += len(wavs)
                 own = pd.DataFrame(made, columns=added, index=part.index, dtype=object)
@@ -218,6 +221,30 @@ def feature(name: str, pcm: bytes) -> str:
     return f"{name}:{len(x)}:{int(size.sum(dtype=np.int64))}:{int(size.max(initial=0))}:{int((low[1:] != low[:-1]).sum())}:{zlib.crc32(pcm)}"
 
 
+def packed(pcm: bytes) -> bytes:
+    """PCM as its even samples and what its odd ones differ by from the mean of their neighbours: without loss, and
+    little to store of what was interpolated."""
+    x = np.frombuffer(pcm, "<i2")
+    even, odd = x[::2], x[1::2].astype(np.int32)
+    out = np.concatenate([even, (odd - _means(even, len(odd))).astype("<i2")])
+    return out.astype("<i2").tobytes()
+
+
+def unpacked(raw: bytes) -> bytes:
+    x = np.frombuffer(raw, "<i2")
+    n = (len(x) + 1) // 2
+    out = np.empty(len(x), "<i2")
+    out[::2] = x[:n]
+    out[1::2] = (x[n:].astype(np.int32) + _means(x[:n], len(x) - n)).astype("<i2")
+    return out.tobytes()
+
+
+def _means(even: np.ndarray, n: int) -> np.ndarray:
+    low = even[:n].astype(np.int32)
+    high = np.append(even[1:], even[-1:])[:n].astype(np.int32)
+    return low + ((high - low) >> 1)
+
+
 MEDIA = "doc_id bigint, n_bytes bigint, media binary"
 RESULT = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
@@ -248,8 +275,8 @@ def text_media(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs[text].cast("string").alias(text)).mapInPandas(run, MEDIA)
 
 
-def measure(media: DataFrame) -> DataFrame:
-    """Digests of stored media and features of their stored PCM, from the bytes read back."""
+def measure(media: DataFrame, pack: bool = False) -> DataFrame:
+    """Digests of stored media and features of their stored PCM, from the bytes read back; ``pack``: PCM is packed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -258,7 +285,7 @@ def measure(media: DataFrame) -> DataFrame:
                 for doc_id, n, wav, pcm in part:
                     wav = bytes(wav)
                     code, _, _, back = read_wav(wav)
-                    rows.append((_whole(doc_id), _whole(n), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), feature(NAMES[code], bytes(pcm))))
+                    rows.append((_whole(doc_id), _whole(n), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), feature(NAMES[code], unpacked(pcm) if pack else bytes(pcm))))
                 yield _frame(rows, RESULT)
 
     return media.select("doc_id", "n_bytes", "media", "pcm").mapInPandas(run, RESULT)
@@ -266,4 +293,4 @@ def measure(media: DataFrame) -> DataFrame:
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = text_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return measure(stored(store_pcm(media), "media", codec="zstd"))
+    return measure(stored(store_pcm(media, pack=True), "media", codec="zstd", options=SMALL), pack=True)

@@ -309,6 +309,13 @@ def test_media(spark):
     assert stored == {1: (40, None), 2: (None, "not a RIFF WAVE file"), 3: (None, None), 4: (754, None), 5: (0, None)}
 
 
+def test_packed_pcm_is_without_loss():
+    r = random.Random(5)
+    for n in (0, 1, 2, 3, 4, 5, 1000, 1001):
+        raw = r.randbytes(2 * n)
+        assert telephony.unpacked(telephony.packed(raw)) == raw
+
+
 def test_the_telephony_query_keeps_every_sample(spark, tmp_path):
     texts = ["a text of some length " * 9, "é" * 500, "", None, *[f"text {i}" * i for i in range(9)]]
     docs(spark, *enumerate(texts)).write.parquet(f"{tmp_path}/documents.parquet")
