@@ -32,8 +32,8 @@ RATE, STORE_RATE = 8000, 16000
 BLOCK = 192
 #: Payload bytes that are expanded together.
 PART_BYTES = 1 << 20
-#: Whole PCM is several times its text; a higher level than usual makes up for part of that.
-SMALL = {"parquet.compression.codec.zstd.level": "9"}
+#: Whole PCM is several times its text; a higher level and larger pages than usual make up for part of that.
+SMALL = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 #: Blocks decoded at once.
 TOGETHER = 1 << 16
 
