@@ -53,20 +53,34 @@ def scratch_folder(spark: SparkSession) -> Iterator[None]:
 #: Rows that Python workers are sent together where a scratch table is made: whole texts, so a few MB.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 2_000
+#: Bytes of such rows, and rows that a scan of Parquet decodes together.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SCAN_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
 
 
-def stored(df: DataFrame, name: str, partitions: Sequence[str] = (), path: str | None = None, codec: str = "snappy", options: dict[str, str] | None = None) -> DataFrame:
+@contextmanager
+def held(spark: SparkSession, confs: dict[str, str]) -> Iterator[None]:
+    """``confs`` hold meanwhile; afterwards they are as they were."""
+    before = {k: spark.conf.get(k, None) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, name: str, partitions: Sequence[str] = (), path: str | None = None, codec: str = "snappy", options: dict[str, str] | None = None, confs: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Most tables are hashes, which no codec makes smaller; ``codec``, ``options``: others for texts."""
+    Most tables are hashes, which no codec makes smaller; ``codec``, ``options``: others for texts. ``confs`` hold while it is
+    written."""
     spark = df.sparkSession
     path = path or scratch(spark, name)
-    before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
-    try:
+    most = int(spark.conf.get(BATCH))
+    with held(spark, {BATCH: str(min(most, BATCH_ROWS) if most > 0 else BATCH_ROWS), **(confs or {})}):
         df.write.options(compression=codec, **(options or {})).partitionBy(*partitions).parquet(path)
-    finally:
-        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import in_blocks, stored
+from .common import BATCH_BYTES, SCAN_ROWS, in_blocks, stored
 
 MULAW, ALAW, IMA = 7, 6, 17
 CODES, NAMES = (MULAW, ALAW, IMA), {MULAW: "ulaw", ALAW: "alaw", IMA: "ima"}
@@ -32,8 +32,13 @@ RATE, STORE_RATE = 8000, 16000
 BLOCK = 192
 #: Payload bytes that are expanded together.
 PART_BYTES = 1 << 20
-#: Whole PCM is several times its text; a higher level and larger pages than usual make up for part of that.
-SMALL = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
+#: Whole PCM is several times its text; a higher level and larger pages than usual make up for part of that. Row groups are
+#: in memory whole, so they are smaller than usual.
+SMALL = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(4 << 20), "parquet.block.size": str(16 << 20)}
+#: Media and PCM are large rows: few are decoded, and few go to a Python worker, together.
+FEW = {BATCH_BYTES: str(8 << 20), SCAN_ROWS: "256"}
+#: Packed PCM of at most so many values has a table of them.
+FEW_VALUES = 80
 #: Blocks decoded at once.
 TOGETHER = 1 << 16
 
@@ -186,31 +191,30 @@ def store_pcm(media: DataFrame, column: str = "media", rate: int = STORE_RATE, p
     """``media`` with the 16-bit little-endian PCM of ``column``, resampled; ``pack``: as ``packed`` makes it."""
     added = [c.split()[0] for c in STORED.split(", ")]
     kept = [c for c in media.columns if c.lower() not in added]
-    schema = media.select(kept).schema
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            first = 0
-            for wavs in in_blocks(frame[column], lambda x: 1 + len(x or b""), PART_BYTES):
-                rows = iter(decode_wavs([bytes(x) for x in wavs if x is not None]))
-                made = []
-                for wav in wavs:
-                    found = (None, None) if wav is None else next(rows)
-                    if isinstance(found, str):
-                        made.append((None, None, None, found))
-                    elif found[1] is None:
-                        made.append((None, None, None, None))
-                    else:
-                        pcm = resample(found[1], found[0], rate)
-                        raw = pcm.astype("<i2").tobytes()
-                        made.append((packed(raw) if pack else raw, rate, len(pcm), None))
-                part = frame.iloc[first : first + len(wavs)]
-                first += len(wavs)
-                own = pd.DataFrame(made, columns=added, index=part.index, dtype=object)
-                yield pd.concat([part[kept], own.astype({"pcm_rate": "Int32", "pcm_samples": "Int64"})], axis=1)
-
-    full = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), STORED])
-    return media.mapInPandas(run, full)
+    full = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(kept).schema), STORED])
+    return media.mapInPandas(lambda frames: _with_pcm(frames, kept, column, rate, pack), full)
+
+
+def _with_pcm(frames: Iterator[pd.DataFrame], kept: list[str], column: str, rate: int, pack: bool) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        first = 0
+        for wavs in in_blocks(frame[column], lambda x: 1 + len(x or b""), PART_BYTES):
+            rows = iter(decode_wavs([bytes(x) for x in wavs if x is not None]))
+            made = []
+            for wav in wavs:
+                found = (None, None) if wav is None else next(rows)
+                if isinstance(found, str):
+                    made.append((None, None, None, found))
+                elif found[1] is None:
+                    made.append((None, None, None, None))
+                else:
+                    pcm = resample(found[1], found[0], rate)
+                    raw = pcm.astype("<i2").tobytes()
+                    made.append((packed(raw) if pack else raw, rate, len(pcm), None))
+            part = frame.iloc[first : first + len(wavs)]
+            first += len(wavs)
+            own = pd.DataFrame(made, columns=[c.split()[0] for c in STORED.split(", ")], index=part.index, dtype=object)
+            yield pd.concat([part[kept], own.astype({"pcm_rate": "Int32", "pcm_samples": "Int64"})], axis=1)
 
 
 def feature(name: str, pcm: bytes) -> str:
@@ -221,21 +225,40 @@ def feature(name: str, pcm: bytes) -> str:
     return f"{name}:{len(x)}:{int(size.sum(dtype=np.int64))}:{int(size.max(initial=0))}:{int((low[1:] != low[:-1]).sum())}:{zlib.crc32(pcm)}"
 
 
+#: Samples, kept differences of odd ones, values in the table.
+HEAD = struct.Struct("<QQB")
+
+
 def packed(pcm: bytes) -> bytes:
     """PCM as its even samples and what its odd ones differ by from the mean of their neighbours: without loss, and
-    little to store of what was interpolated."""
+    little to store of what was interpolated.
+
+    Differences end at the last that is not 0. Even samples of few values are places in a table of these, others what they
+    differ by from the one before."""
     x = np.frombuffer(pcm, "<i2")
-    even, odd = x[::2], x[1::2].astype(np.int32)
-    out = np.concatenate([even, (odd - _means(even, len(odd))).astype("<i2")])
-    return out.astype("<i2").tobytes()
+    even, odd = np.ascontiguousarray(x[::2]), x[1::2].astype(np.int32)
+    rest = (odd - _means(even, len(odd))).astype("<i2")
+    rest = rest[: np.flatnonzero(rest)[-1] + 1] if rest.any() else rest[:0]
+    place = np.zeros(1 << 16, np.uint8)
+    place[even.view("<u2")] = 1
+    values = np.flatnonzero(place)
+    if len(values) > FEW_VALUES:
+        return b"".join([HEAD.pack(len(x), len(rest), 0), np.diff(even, prepend=np.int16(0)).astype("<i2").tobytes(), rest.tobytes()])
+    place[values] = np.arange(len(values))
+    return b"".join([HEAD.pack(len(x), len(rest), len(values)), values.astype("<u2").tobytes(), place[even.view("<u2")].tobytes(), rest.tobytes()])
 
 
 def unpacked(raw: bytes) -> bytes:
-    x = np.frombuffer(raw, "<i2")
-    n = (len(x) + 1) // 2
-    out = np.empty(len(x), "<i2")
-    out[::2] = x[:n]
-    out[1::2] = (x[n:].astype(np.int32) + _means(x[:n], len(x) - n)).astype("<i2")
+    n, k, values = HEAD.unpack_from(raw)
+    n_even, at = (n + 1) // 2, HEAD.size + 2 * values
+    if values:
+        even = np.frombuffer(raw, "<i2", values, HEAD.size)[np.frombuffer(raw, np.uint8, n_even, at)]
+    else:
+        even = np.cumsum(np.frombuffer(raw, "<i2", n_even, at), dtype=np.int16)
+    odd = _means(even, n // 2)
+    odd[:k] += np.frombuffer(raw, "<i2", k, len(raw) - 2 * k)
+    out = np.empty(n, "<i2")
+    out[::2], out[1::2] = even, odd.astype("<i2")
     return out.tobytes()
 
 
@@ -265,14 +288,29 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
 
 def text_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each text as the samples (or blocks) of a WAV file in the column ``media``."""
+    return _texts(docs, text).mapInPandas(_media, MEDIA)
+
+
+def text_pcm(docs: DataFrame, text: str = "text", rate: int = STORE_RATE, pack: bool = False) -> DataFrame:
+    """``store_pcm`` of ``text_media``, both in one Python worker; files of one format come together, which compress better so."""
+    kept = [c.split()[0] for c in MEDIA.split(", ")]
+    return _texts(docs, text).mapInPandas(lambda frames: _with_pcm(_media(frames, together=True), kept, "media", rate, pack), f"{MEDIA}, {STORED}")
+
+
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs[text].cast("string").alias(text))
+
+
+def _code(payload: bytes) -> int:
+    return CODES[zlib.crc32(payload) % len(CODES)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for part in in_blocks(frame.itertuples(index=False), lambda r: len(r[1] or ""), PART_BYTES):
-                made = [(doc_id, *padded(t)) for doc_id, t in part]
-                yield _frame([(_whole(doc_id), n, encode_wav(payload, CODES[zlib.crc32(payload) % len(CODES)])) for doc_id, n, payload in made], MEDIA)
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs[text].cast("string").alias(text)).mapInPandas(run, MEDIA)
+def _media(frames: Iterator[pd.DataFrame], together: bool = False) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = frame.itertuples(index=False)
+        for part in in_blocks(sorted(rows, key=lambda r: _code(padded(r[1])[1])) if together else rows, lambda r: len(r[1] or ""), PART_BYTES):
+            made = [(doc_id, *padded(t)) for doc_id, t in part]
+            yield _frame([(_whole(doc_id), n, encode_wav(payload, _code(payload))) for doc_id, n, payload in made], MEDIA)
 
 
 def measure(media: DataFrame, pack: bool = False) -> DataFrame:
@@ -292,5 +330,7 @@ def measure(media: DataFrame, pack: bool = False) -> DataFrame:
 
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = text_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return measure(stored(store_pcm(media, pack=True), "media", codec="zstd", options=SMALL), pack=True)
+    media = text_pcm(spark.read.parquet(f"{sf_dir}/documents.parquet"), pack=True)
+    kept = stored(media, "media", codec="zstd", options=SMALL, confs=FEW)
+    # stored as well, since batches are as few rows as here only while this runs
+    return stored(measure(kept, pack=True), "measured", codec="zstd", confs=FEW)

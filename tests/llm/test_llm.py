@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,6 +317,37 @@ def test_packed_pcm_is_without_loss():
         assert telephony.unpacked(telephony.packed(raw)) == raw
 
 
+def test_packed_pcm_is_small():
+    r = random.Random(6)
+    most = telephony.FEW_VALUES
+    for values in (1, 2, most - 1, most, most + 1, 256, 257, 5000):
+        own = np.array(r.sample(range(-32768, 32768), values), "<i2")
+        pcm = np.concatenate([own, own[[r.randrange(values) for _ in range(20000 + values % 2)]]])
+        raw = telephony.resample(pcm, telephony.RATE).astype("<i2").tobytes()
+        odd = np.frombuffer(raw, "<i2").copy()
+        odd[r.randrange(len(odd) // 2)] ^= 1
+        for x in (raw, odd.tobytes(), raw[:-2], pcm.tobytes()):
+            assert telephony.unpacked(telephony.packed(x)) == x
+        assert len(telephony.packed(raw)) < len(raw) / (3.9 if values <= most else 1.9)
+
+
+def test_telephony_reads_few_rows_together(spark, tmp_path, monkeypatch):
+    docs(spark, *((i, f"text {i} ") for i in range(24))).withColumn("text", F.expr("repeat(text, 100000)")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(media, pack):
+        def run(frames):
+            for frame in frames:
+                yield pd.DataFrame({"mb": [sum(map(len, [*frame["media"], *frame["pcm"]])) >> 20]})
+
+        return media.mapInPandas(run, "mb bigint")
+
+    monkeypatch.setattr(telephony, "measure", sizes)
+    before = [spark.conf.get(k, None) for k in telephony.FEW]
+    got = [r.mb for r in telephony.op6_telephony(spark, str(tmp_path)).collect()]
+    assert sum(got) > 30 and max(got) < 16
+    assert [spark.conf.get(k, None) for k in telephony.FEW] == before
+
+
 def test_the_telephony_query_keeps_every_sample(spark, tmp_path):
     texts = ["a text of some length " * 9, "é" * 500, "", None, *[f"text {i}" * i for i in range(9)]]
     docs(spark, *enumerate(texts)).write.parquet(f"{tmp_path}/documents.parquet")
